@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, exact_dedup, packing, toxicity
+from . import decontam, exact_dedup, ngram_join, packing, toxicity
 from .common import held_out
 
 
@@ -19,6 +19,11 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ngram_join.classes(_read(spark, sf_dir, "documents"), k=3, num=90, den=100)
+    return found.withColumnRenamed("id", "doc_id")
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.groups(_read(spark, sf_dir, "documents"), keep="largest")
 
@@ -41,7 +46,7 @@ def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.select("doc_id", *[F.col(n).alias(o) for n, o in zip(names, out, strict=True)])
 
 
-QUERIES = {f.__name__: f for f in (op5_exact_dedup, op8_toxicity, op9_packing, op10_decontam)}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op5_exact_dedup, op8_toxicity, op9_packing, op10_decontam)}
 
 ORACLE = {
     "op5_exact_dedup": """
