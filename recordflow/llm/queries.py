@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, exact_dedup, ngram_join, packing, toxicity
+from . import decontam, exact_dedup, langid, ngram_join, packing, sharding, toxicity
 from .common import held_out
 
 
@@ -24,10 +24,22 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "doc_id")
 
 
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sharding.shard(_read(spark, sf_dir, "documents"), shards=16)
+    return rows.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.groups(_read(spark, sf_dir, "documents"), keep="largest")
 
 
+def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    model = langid.fit(docs.where(~held_out(F.col("doc_id"), 3, 1)))
+    found, (lang, score) = langid.predict(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out(F.col("doc_id"), 3, 1).alias("held_out"), F.col(lang).alias("lang_pred"), F.col(score).alias("score"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
     machine = toxicity.fit(docs, labels.where(~held_out(F.col("doc_id"), 5, 0)), "toxic")
@@ -46,7 +58,7 @@ def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.select("doc_id", *[F.col(n).alias(o) for n, o in zip(names, out, strict=True)])
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op5_exact_dedup, op8_toxicity, op9_packing, op10_decontam)}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op3_sharding, op5_exact_dedup, op7_langid, op8_toxicity, op9_packing, op10_decontam)}
 
 ORACLE = {
     "op5_exact_dedup": """
