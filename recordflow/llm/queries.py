@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, exact_dedup, langid, ngram_join, packing, sharding, toxicity
+from . import decontam, exact_dedup, langid, ngram_join, packing, quality, sharding, toxicity
 from .common import held_out
 
 
@@ -29,6 +29,13 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
+    model = quality.fit(docs, labels.where(~held_out(F.col("doc_id"), 5, 0)), "quality")
+    scored, name = quality.score(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), F.col(name).alias("score"), F.when(F.col(name) >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.groups(_read(spark, sf_dir, "documents"), keep="largest")
 
@@ -58,7 +65,7 @@ def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.select("doc_id", *[F.col(n).alias(o) for n, o in zip(names, out, strict=True)])
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op3_sharding, op5_exact_dedup, op7_langid, op8_toxicity, op9_packing, op10_decontam)}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op3_sharding, op4_quality, op5_exact_dedup, op7_langid, op8_toxicity, op9_packing, op10_decontam)}
 
 ORACLE = {
     "op5_exact_dedup": """
