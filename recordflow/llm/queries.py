@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, exact_dedup, langid, ngram_join, packing, quality, sharding, toxicity
+from . import decontam, exact_dedup, langid, ngram_join, packing, quality, sharding, suffix_dedup, toxicity
 from .common import held_out
 
 
@@ -24,6 +24,10 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "doc_id")
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeats(_read(spark, sf_dir, "documents"), length=400).drop("spans")
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sharding.shard(_read(spark, sf_dir, "documents"), shards=16)
     return rows.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
@@ -65,7 +69,7 @@ def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.select("doc_id", *[F.col(n).alias(o) for n, o in zip(names, out, strict=True)])
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op3_sharding, op4_quality, op5_exact_dedup, op7_langid, op8_toxicity, op9_packing, op10_decontam)}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_suffix_dedup, op3_sharding, op4_quality, op5_exact_dedup, op7_langid, op8_toxicity, op9_packing, op10_decontam)}
 
 ORACLE = {
     "op5_exact_dedup": """
