@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, exact_dedup, langid, ngram_join, packing, quality, sharding, suffix_dedup, toxicity
+from . import decontam, exact_dedup, langid, line_dedup, ngram_join, packing, quality, sharding, suffix_dedup, toxicity
 from .common import held_out
 
 
@@ -44,6 +44,10 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.groups(_read(spark, sf_dir, "documents"), keep="largest")
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.by_document(_read(spark, sf_dir, "documents"), num=90, den=100)
+
+
 def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     model = langid.fit(docs.where(~held_out(F.col("doc_id"), 3, 1)))
@@ -69,7 +73,7 @@ def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.select("doc_id", *[F.col(n).alias(o) for n, o in zip(names, out, strict=True)])
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_suffix_dedup, op3_sharding, op4_quality, op5_exact_dedup, op7_langid, op8_toxicity, op9_packing, op10_decontam)}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_suffix_dedup, op3_sharding, op4_quality, op5_exact_dedup, op6_line_dedup, op7_langid, op8_toxicity, op9_packing, op10_decontam)}
 
 ORACLE = {
     "op5_exact_dedup": """
