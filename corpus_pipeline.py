@@ -15,11 +15,17 @@ from pyspark.sql import functions as F
 from recordflow.llm import decontam, exact_dedup, ngram_join, packing, toxicity
 from recordflow.llm.common import drop_tables, held_out, shared_dir
 from recordflow.llm.queries import tokenizer_path
+from recordflow.session import ship
+
+
+def _begin(spark: SparkSession) -> None:
+    ship(spark)
+    drop_tables(spark)  # what earlier stages needed: their results are written
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is at least 0.5 go."""
-    drop_tables(spark)  # what earlier stages needed: their results are written
+    _begin(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held_out(F.col("doc_id"), 5, 0))
     scored, score = toxicity.score(docs, toxicity.fit(docs, labels, "toxic"))
     return scored.where(F.col(score) < 0.5).drop(score)
@@ -27,26 +33,26 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents with equal texts (A-Z as a-z) the one with the largest doc_id stays."""
-    drop_tables(spark)
+    _begin(spark)
     return exact_dedup.dedup(docs, keep="largest")
 
 
 def ngram_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by a Jaccard similarity of 0.8 or more over five-word shingles one stays."""
-    drop_tables(spark)
+    _begin(spark)
     return ngram_join.dedup(docs, k=5, num=80, den=100)
 
 
 def decontam_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of whose words a twentieth or more are hit by benchmark windows go."""
-    drop_tables(spark)
+    _begin(spark)
     marked, names = decontam.mark(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return marked.where(~F.col(names[-1])).drop(*names)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of 1024 tokens, with their ids."""
-    drop_tables(spark)
+    _begin(spark)
     return packing.pack(docs, tokenizer_path(), size=1024, separator=0, with_ids=True)
 
 
