@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -86,8 +87,6 @@ def gensub(s: Column, pattern: str, rep: str, how: str | int = "g", ignore_case:
 
 def _nth(s: Column, pattern: str, rep: str, n: int, ignore_case: bool) -> Column:
     """For patterns with groups of their own: in Python, by batches."""
-    import pandas as pd
-
     found = patterns.python(pattern, ignore_case)
 
     @F.pandas_udf("string")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import clock, codec, coerce, formatting, numeric
@@ -10,6 +10,7 @@ from ..functions import text as T
 from ..operators import cut as C
 from ..operators import edit as E
 from ..operators import fields, folds, lookups, ordered
+from .program import run_program
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -473,5 +474,35 @@ def ranks(t):
     return t("orders").select("o_orderkey", F.rank().over(w.orderBy(F.desc("o_totalprice"))).alias("r"), F.dense_rank().over(w.orderBy("o_orderstatus")).alias("d"), F.ntile(4).over(w.orderBy("o_orderkey")).alias("q"))
 
 
-def run(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES[name](spark, sf_dir)
+def _records(df: DataFrame, nr: str, *columns: str) -> DataFrame:
+    return df.select(F.col(nr).alias("nr"), F.concat_ws(" ", *[F.col(c).cast("string") for c in columns]).alias("record"))
+
+
+@query("select l_orderkey * 10 + l_linenumber as nr, l_returnflag || ':' || upper(substr(l_linestatus, 1, 1)) || ':' || 3 as line from lineitem where l_returnflag = 'R' and l_linestatus ~ '^[FO]'")
+def program_rules(t):
+    df = t("lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("k"), "l_returnflag", "l_linestatus", F.lit("x").alias("x"))
+    text = 'BEGIN { OFS = ":" } $1 == "R" && $2 ~ /^[FO]/ { print $1, toupper(substr($2, 1, 1)), NF }'
+    return run_program(text, _records(df, "k", *df.columns[1:])).select("nr", "line")
+
+
+@query("select l_returnflag || ' ' || count(*) || ' ' || cast(sum(l_quantity) as bigint) as line from lineitem where l_linenumber > 1 group by l_returnflag")
+def program_fold(t):
+    df = t("lineitem").withColumn("k", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
+    text = "$2 + 0 > 1 { n[$1]++; q[$1] += $3 } END { for (f in n) print f, n[f], q[f] }"
+    return run_program(text, _records(df, "k", "l_returnflag", "l_linenumber", "l_quantity")).select("line")
+
+
+@query("select count(*) || '/' || sum(l_linenumber) as line from lineitem")
+def program_totals(t):
+    df = t("lineitem").withColumn("k", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
+    return run_program('BEGIN { OFS = "/" } { n++; s += $1 } END { print n, s }', _records(df, "k", "l_linenumber")).select("line")
+
+
+@query("""with e as (select user_id, event_id, event_type, lag(event_type) over (partition by user_id order by event_id) as prev from events)
+ select user_id, event_id as nr, prev || '>' || event_type as line from e where prev <> event_type""")
+def program_sequential(t):
+    df = t("events").select("user_id", F.col("event_id").alias("nr"), F.col("event_type").alias("record"))
+    text = 'seen && p != $2 { print $1 "\\t" p ">" $2 } { p = $2; seen = 1 }'
+    rows = df.select("user_id", "nr", F.concat_ws(" ", F.col("nr").cast("string"), "record").alias("record"))
+    out = run_program(text, rows, by=["user_id"]).select("user_id", F.split("line", "\t").alias("p"))
+    return out.select("user_id", F.get("p", F.lit(0)).cast("bigint").alias("nr"), F.get("p", F.lit(1)).alias("line"))

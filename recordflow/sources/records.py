@@ -13,6 +13,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -89,8 +90,6 @@ def split(text: Column, rs: str | None, ignore_case: bool = False) -> Column:
 
 def read_quoted(spark: SparkSession, files: list[str], fs: str) -> DataFrame:
     """Records whose quoted fields may hold line ends: (file, fnr, record, fields)."""
-    import pandas as pd
-
     from ..operators.fields import split_quoted
 
     _, sep, esc, lq, rq = fs
@@ -115,7 +114,7 @@ def read_quoted(spark: SparkSession, files: list[str], fs: str) -> DataFrame:
     def run(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: [{"record": r, "fields": split_quoted(r, sep, esc, lq, rq)} for r in cut(t)])
 
-    whole = spark.read.option("wholetext", True).text(files).select(F.col("_metadata.file_path").alias("file"), F.posexplode(run("value")).alias("__at", "r"))
+    whole = spark.read.text(files, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(run("value")).alias("__at", "r"))
     return whole.select("file", (F.col("__at") + 1).alias("fnr"), "r.record", "r.fields")
 
 

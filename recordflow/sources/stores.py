@@ -81,7 +81,7 @@ def read_config(spark: SparkSession, files: str | list[str]) -> DataFrame:
             rows = [r for path, text in zip(f["path"], f["text"], strict=True) for r in config_rows(text, path.rsplit("/", 1)[-1])]
             yield pd.DataFrame(rows, columns=["package", "section", "type", "option", "value", "place"])
 
-    whole = spark.read.option("wholetext", True).text(files)
+    whole = spark.read.text(files, wholetext=True)
     return whole.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")).mapInPandas(parse, schema)
 
 

@@ -1,0 +1,89 @@
+"""The record language, run record by record and as plans."""
+
+import pytest
+
+from recordflow.plans.grammar import parse
+from recordflow.plans.program import compile_program, run_program
+from recordflow.plans.sequential import Interpreter
+
+RECORDS = ("alpha beta 3", "gamma delta 4", "alpha x 5")
+
+
+def run(text, records=RECORDS, **options):
+    options.setdefault("files", {"side": "l1\nl2\n"})
+    out = Interpreter(parse(text), **options).run(("f", i, r) for i, r in enumerate(records, 1))
+    return "".join(x for _, _, x in out)
+
+
+CASES = [
+    ("{ print $1, NF }", "alpha 3\ngamma 3\nalpha 3\n"),
+    ("{ c[$1] += $3 } END { for (k in c) print k, c[k] }", "alpha 8\ngamma 4\n"),
+    ('/gamma/,/x/ { print NR ":" $2 }', "2:delta\n3:x\n"),
+    ('NR==1 { next } { print; exit } END { print "bye" }', "gamma delta 4\nbye\n"),
+    ('BEGIN { printf "%5.2f|%-4s|%x\\n", 3.14159, "ab", 255; print 7/2, 6/3, 2**10, 7%3, -7\\2 }', " 3.14|ab  |ff\n3.5 2 1024 1 -3\n"),
+    ("function f(a, &b) { b = a * 2; return a + 1 } BEGIN { x = f(3, y); print x, y }", "4 6\n"),
+    ('BEGIN { s = "tiger"; n = gsub(/[aeiou]/, "<&>", s); print n, s; print gensub(/o/, "0", 1, "foo boo"); print substr("hello", -1, 3), index("hello","l") }', "2 t<i>g<e>r\nf0o boo\nhel 3\n"),
+    ('{ $2 = "Z"; $5 = "q"; print NF ":" $0 }', "5:alpha Z 3  q\n5:gamma Z 4  q\n5:alpha Z 5  q\n"),
+    ("{ NF = 2; print }", "alpha beta\ngamma delta\nalpha x\n"),
+    ('BEGIN { m["a"]["b"] = 1; m["a"]["c"] = 2; n = split("a:b:c", p, ":"); print n, p[2], ("b" in m["a"]); delete m["a"]["b"]; print length(m["a"]) }', "3 b 1\n1\n"),
+    ("BEGIN { while (i < 5) { i++; if (i == 2) continue; if (i == 4) break; print i } do { i-- } while (i > 0); print i; for (j = 0; j < 2; j++) print j }", "1\n3\n0\n0\n1\n"),
+    ('BEGIN { switch (3) { case 1: print "one"; case 3: print "three"; case 4: print "four"; break; default: print "none" } }', "three\nfour\n"),
+    ('BEGIN { switch ("q") { default: print "none"; case 1: print "one" } }', "none\none\n"),
+    ('BEGIN { if (match("foobar", /o+/, g)) print RSTART, RLENGTH, g[0]; print "9" < "100", 9 < 100, "a" ~ /[[:alpha:]]/ }', "2 2 oo\n0 1 1\n"),
+    ("$3 > 10 { print $3 }", "3\n4\n5\n"),
+    ("$3 + 0 > 3 { print $3 }", "4\n5\n"),
+    ('BEGIN { a["x"]=3; a["y"]=1; n = asort(a); print n, a[1], a[2]; print 010 + 0, "0x1F" + 0, "3abc" + 1, -"-5" }', "2 1 3\n8 31 4 5\n"),
+    ('{ while ((getline line < "side") > 0) print "side", line } END { print NR, (getline x < "none") }', "side l1\nside l2\n3 -1\n"),
+    ('BEGIN { f = function(a) { return a * a }; print f(4); v = @{"k": 1, "j": @[1,2]}; print v.k, v["j"][2], length(v) }', "16\n1 2 2\n"),
+    ("{ getline; print $1 }", "gamma\nalpha\n"),
+    ("{ print 1e6, 0.1+0.2, 1/3; exit }", "1000000 0.3 0.333333\n"),
+    ("{ nextfile; print }", ""),
+    ('BEGIN { print 9223372036854775807 + 1; print !"0", !"", !0 }', "-9223372036854775808\n0 1 1\n"),
+    ('END { print $0; print str::rindex("banana", "an"), str::trim("  x "), str::isdigit("12"), str::tohex("AB") }', "alpha x 5\n4 x 1 4142\n"),
+    ("BEGIN { print 5 & 3, (5 | 3), 5 ^^ 3, 1 << 4, (16 >> 2), ~0 }", "1 7 6 16 4 -1\n"),
+    ("BEGIN { x = 5; x **= 2; x %%= \"a\"; print x; print 1 === 1.0, 1 == 1.0; print 2 ** 3 ** 2, -2 ** 2 }", "25a\n0 1\n512 -4\n"),
+]
+
+
+@pytest.mark.parametrize("text,want", CASES)
+def test_sequential(text, want):
+    assert run(text) == want
+
+
+@pytest.mark.parametrize("text", ["{ print", "BEGIN { x = }", "function { }", "{ a[1 }"])
+def test_syntax_errors(text):
+    with pytest.raises(SyntaxError):
+        parse(text)
+
+
+def test_number_fields():
+    assert run("{ print $1 < $2, $1 }", ["9 100", "007 1.50", "08 7"], numstr=True) == "1 9\n0 7\n1 08\n"  # 08 is no number, so it is compared as text
+
+
+PLANS = [
+    ('BEGIN { OFS = ":" } /a/ { print $1, NF, NR * 2, $3 + 1; next } { print "rest" }', "rules"),
+    ('$3 + 0 >= 4 { print toupper($1) "-" substr($2, 2), length($2) > "odd" }', "rules"),
+    ("$1 == \"alpha\"", "rules"),
+    ("{ c[$1]++; s[$1] += $3 } END { for (k in c) print k, c[k], s[k] / 2 }", "fold"),
+    ("/a/ { n++ } $3 + 0 > 3 { t += $3 } END { print n, t }", "fold"),
+    ("{ t += $3; print t }", "sequential"),
+    ("NR == 2, NR == 3 { print }", "sequential"),
+    ("function f(x) { return x 1 } { print f($1) }", "sequential"),
+    ("{ seen[$1]++ } END { print NR }", "sequential"),
+]
+
+
+@pytest.mark.parametrize("text,kind", PLANS)
+def test_plans_agree_with_the_interpreter(spark, text, kind):
+    records = ["alpha beta 3", "gamma delta 4", "alpha x 5", "", "q  a  12 z", "no"]
+    assert compile_program(text).kind == kind
+    df = spark.createDataFrame(list(enumerate(records, 1)), "nr bigint, record string")
+    got = [(r.dest, r.line) for r in sorted(run_program(text, df).collect(), key=lambda r: (r.nr or 0, r.at) if kind != "fold" else (0, 0))]
+    want = [(d, x.removesuffix("\n")) for _, d, x in Interpreter(parse(text)).run(("", i, r) for i, r in enumerate(records, 1))]
+    assert got == want
+
+
+def test_domains_run_by_themselves(spark):
+    df = spark.createDataFrame([(k, i, f"{k} {i}") for k in ("a", "b") for i in range(1, 4)], "k string, nr bigint, record string")
+    got = run_program("{ t += $2 } END { print $1, t }", df, by=["k"]).collect()
+    assert sorted((r.k, r.line) for r in got) == [("a", "a 6"), ("b", "b 6")]
