@@ -87,3 +87,11 @@ def test_domains_run_by_themselves(spark):
     df = spark.createDataFrame([(k, i, f"{k} {i}") for k in ("a", "b") for i in range(1, 4)], "k string, nr bigint, record string")
     got = run_program("{ t += $2 } END { print $1, t }", df, by=["k"]).collect()
     assert sorted((r.k, r.line) for r in got) == [("a", "a 6"), ("b", "b 6")]
+
+
+@pytest.mark.parametrize("text", [c[0] for c in CASES] + [p[0] for p in PLANS])
+def test_printed_programs_do_the_same(text):
+    from recordflow.plans import printer
+
+    once = printer.program(parse(text))
+    assert run(once) == run(text) and printer.program(parse(once)) == once
