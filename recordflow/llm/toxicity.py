@@ -70,45 +70,50 @@ def learn(rows: list[tuple[int, bytes]], share: float | None = None, slots: int
     if not len(y) or y.min() == y.max():
         none.bias = 20.0 if len(y) and y[0] else -20.0
         return none
-    each = [np.frombuffer(r[1], "<i4") for r in rows]
-    flat = np.concatenate(each).astype(np.int64)
-    of = np.repeat(np.arange(len(each)), [len(x) for x in each])
-    pos = np.bincount(flat[y[of] == 1], minlength=SLOTS)
-    neg = np.bincount(flat[y[of] == 0], minlength=SLOTS)
+    pos, neg = np.zeros(SLOTS, np.int32), np.zeros(SLOTS, np.int32)
+    for label, slots_ in rows:  # a row's slots are distinct
+        (pos if label else neg)[np.frombuffer(slots_, "<i4")] += 1
     n1, n0 = y.sum(), (1 - y).sum()
     least = 3 if len(y) < 2000 else 6
-    with np.errstate(divide="ignore", invalid="ignore"):
-        chi = (pos * (n0 - neg) - neg * (n1 - pos)) ** 2.0 / ((pos + neg) * (n0 + n1 - pos - neg))
-    chi[(pos + neg < least) | ~np.isfinite(chi)] = 0
-    best = np.argsort(-chi, kind="stable")[:slots]
-    best = np.sort(best[chi[best] > 4.0 * n1 * n0 / (n1 + n0)])  # chi-square above 4
-    if not len(best):
-        best = np.empty(0, np.int64)
-    where = np.full(SLOTS, -1, np.int64)
+    seen = np.flatnonzero(pos + neg >= least)
+    p, q = pos[seen].astype(float), neg[seen].astype(float)
+    chi = (p * (n0 - q) - q * (n1 - p)) ** 2 / ((p + q) * np.maximum(n0 + n1 - p - q, 1))
+    order = np.argsort(-chi, kind="stable")[:slots]
+    sure = 8.0 if len(y) < 2000 else 25.0  # of chi-square: with so many slots, chance alone gives thousands above 4
+    best = np.sort(seen[order[chi[order] > sure * n1 * n0 / (n1 + n0)]])
+    where = np.full(SLOTS, -1, np.int32)
     where[best] = np.arange(len(best))
-    at = where[flat]
-    at, of = at[at >= 0], of[at >= 0]
-    w, v = np.zeros(len(best)), np.random.default_rng(seed).normal(0, 0.01, (len(best), k))
+    at, of = [], []
+    for i, (_, slots_) in enumerate(rows):
+        got = where[np.frombuffer(slots_, "<i4")]
+        at.append(got[got >= 0])
+        of.append(np.full(len(at[-1]), i, np.int32))
+    at, of = np.concatenate(at), np.concatenate(of)
+    w, v = np.zeros(len(best)), np.random.default_rng(seed).normal(0, 0.01, (k, len(best)))
     bias = float(np.log(n1 / n0))
-    gw, gv, gb = np.full(len(best), 1.0), np.full((len(best), k), 1.0), 1.0
+    gw, gv, gb = np.full(len(best), 1.0), np.full((k, len(best)), 1.0), 1.0
     n = len(y)
     weight = np.where(y == 1, n / (2 * n1), n / (2 * n0))  # both labels count alike
-    for _ in range(rounds):  # full-batch AdaGrad with decay of weights
-        va = v[at]
-        s = np.stack([np.bincount(of, va[:, f], n) for f in range(k)], 1)
-        raw = bias + np.bincount(of, w[at], n) + 0.5 * ((s * s).sum(1) - np.bincount(of, (va * va).sum(1), n))
-        p = 1 / (1 + np.exp(-np.clip(raw, -30, 30)))
-        d = (p - y) * weight
-        dw = np.bincount(at, d[of], len(w)) + 0.5 * w
-        dv = np.stack([np.bincount(at, d[of] * (s[of, f] - va[:, f]), len(w)) for f in range(k)], 1) + 1.0 * v
+    for _ in range(rounds):  # full-batch AdaGrad with decay of weights; one factor at a time, so little is held at once
+        sums = [np.bincount(of, x[at], n) for x in v]
+        raw = bias + np.bincount(of, w[at], n)
+        for s, x in zip(sums, v, strict=True):
+            raw += 0.5 * (s * s - np.bincount(of, (x * x)[at], n))
+        d = (1 / (1 + np.exp(-np.clip(raw, -30, 30))) - y) * weight
+        by = d[of]
+        total = np.bincount(at, by, len(w))
+        dw = total + 0.5 * w
+        for s, x, g in zip(sums, v, gv, strict=True):
+            dx = np.bincount(at, by * s[of], len(w)) - total * x + 1.0 * x
+            g += dx**2
+            x -= 0.05 * dx / np.sqrt(g)
         db = d.sum()
-        gw, gv, gb = gw + dw**2, gv + dv**2, gb + db**2
+        gw, gb = gw + dw**2, gb + db**2
         w -= 0.3 * dw / np.sqrt(gw)
-        v -= 0.05 * dv / np.sqrt(gv)
         bias -= 0.3 * db / np.sqrt(gb)
     if share is not None and 0 < share < 1:
         bias += 0.5 * float(np.log(share / (1 - share)))  # half way from even odds to those of all labelled rows
-    return Machine(bias, best, w, v)
+    return Machine(bias, best, w, np.ascontiguousarray(v.T))
 
 
 def _scored(machine: Machine, text_at: int, name: str):
@@ -143,7 +148,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_i
     text = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     rows = text.join(F.broadcast(some), "id").select("label", "text").mapInArrow(_sampled, "label int, slots binary").collect()  # at most 2 * most ids
     n = sum(counts.values())
-    rows = sorted((r[0], bytes(r[1])) for r in rows)
+    rows = sorted((label, bytes(slots)) for label, slots in rows)
     return learn(rows, counts.get(1, 0) / n if n else None)
 
 
