@@ -12,11 +12,12 @@ are near enough agree in at least 2 s + 1 whole slices; each text leaves out its
 little, so a slice is left that both give. Each is a bucket key. Texts give keys for their size class and for
 each class in which a larger partner can be. Keys are shuffled and sorted; keys of one text only go at once.
 
-In a bucket that is left, first each member is paired with the smallest one; those pairs are bounded by the
-points and verified on the sets. Buckets whose members aren't linked by then get an R-tree over their points
-(large buckets: a tree for each block, block against block, on tasks of their own); it gives every pair of
-different components whose bound reaches the threshold, and these are verified as well. So copies of one
-text, however many, cost a number of pairs in proportion to them, and no link between components is lost.
+Buckets that share a member are one family (connected components of each member with its bucket's smallest), and
+each text is in one family only, so its set is shuffled once. A family's task builds an R-tree over its points and
+goes through the pairs that the bound lets be linked, the closest first: pairs that are in one component by then are
+skipped, the others verified on their sets. It gives only the links that join components, so a group of near
+copies, however close, costs links in proportion to its size. A family of more than BLOCK texts is dealt out in
+blocks, each pair of blocks to a task of its own.
 
 Texts with equal sets are collapsed to one representative before all that; within a task only the first of
 them gives keys, so a set that a third of all rows share is no hot key.
@@ -34,7 +35,6 @@ from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -43,8 +43,8 @@ from pyspark.sql import functions as F
 from .common import Memo, fresh, grams, longs, mix, numbers, octets, slices, table
 from .components import components
 
-GROUPS = 64  # coordinates of a point in the trees
-BLOCK = 1500  # members of a bucket in one tree
+GROUPS = 256  # coordinates of a point in the trees
+BLOCK = 1000  # texts of a family in one tree
 LEAF = 32
 
 
@@ -188,7 +188,7 @@ def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def point(s: np.ndarray) -> np.ndarray:
     """Counts by group."""
-    return np.bincount((s % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS).astype("<i4")
+    return np.bincount((s % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS).astype("<u2")  # a count beyond 65,535 takes a text of 16 million words
 
 
 def _sets(k: int):
@@ -196,32 +196,11 @@ def _sets(k: int):
         memo = Memo()
         for b in batches:
             got = [shingles(t, k, memo) for t in octets(b.column(1))]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([point(s).tobytes() for s in got], pa.binary()), pa.array([s.tobytes() for s in got], pa.binary())], ["id", "point", "shingles"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([point(s).tobytes() for s in got], pa.binary()), pa.array([s.tobytes() for s in got], pa.binary()), b.column(2), b.column(3)], ["id", "point", "shingles", "family", "blocks"])
 
     return sets
 
 
-def _verify(t: Threshold):
-    """(a, b, point_a, point_b, set_a, set_b) to the linked (a, b); the points' bound comes first."""
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ok = []
-            for x, y, s, u in zip(*[octets(b.column(c)) for c in (2, 3, 4, 5)], strict=True):
-                total = (len(s) + len(u)) // 8
-                most = int(np.minimum(np.frombuffer(x, "<i4"), np.frombuffer(y, "<i4")).sum())
-                if not t.linked(most, total):
-                    ok.append(False)
-                    continue
-                both = np.concatenate([np.frombuffer(s, "<u8"), np.frombuffer(u, "<u8")])
-                both.sort()
-                ok.append(bool(t.linked(int((both[1:] == both[:-1]).sum()), total)))
-            mask = pa.array(ok, pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(mask), b.column(1).filter(mask)], ["a", "b"])
-
-    return verify
-
-
 class RTree:
     """Points in boxes, packed by sorting and tiling: by size first, then by the coordinate that spreads most.
 
@@ -230,7 +209,7 @@ class RTree:
     """
 
     def __init__(self, points: np.ndarray):
-        self.points, self.size = points, points.sum(1)
+        self.points, self.size = points, points.sum(1, dtype=np.int64)
         self.order = self._pack(np.arange(len(points)), 0)
         starts = np.arange(0, len(points), LEAF)
         self.levels = [(np.maximum.reduceat(points[self.order], starts), np.minimum.reduceat(self.size[self.order], starts))]
@@ -253,25 +232,82 @@ class RTree:
         nodes = np.arange(len(self.levels[-1][1]))
         for level in range(len(self.levels) - 1, -1, -1):
             high, low = self.levels[level]
-            nodes = nodes[t.linked(np.minimum(high[nodes], q).sum(1), low[nodes] + size)]
+            nodes = nodes[t.linked(np.minimum(high[nodes], q).sum(1, dtype=np.int64), low[nodes] + size)]
             if not len(nodes):
                 return nodes
             of = len(self.levels[level - 1][1]) if level else len(self.order)
             nodes = (nodes[:, None] * LEAF + np.arange(LEAF)).ravel()
             nodes = nodes[nodes < of]
         rows = self.order[nodes]
-        return rows[t.linked(np.minimum(self.points[rows], q).sum(1), self.size[rows] + size)]
+        return rows[t.linked(np.minimum(self.points[rows], q).sum(1, dtype=np.int64), self.size[rows] + size)]
 
 
-def tree_pairs(ids: np.ndarray, comp: np.ndarray, points: np.ndarray, left: np.ndarray, right: np.ndarray, t: Threshold) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of a row of `left` and one of `right`, of different components, that the bound lets be linked."""
-    tree, a, b = RTree(points[right]), [], []
+def spanning_links(points: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, t: Threshold) -> list[tuple[int, int]]:
+    """Links between rows of `left` and rows of `right` that join them as all links would."""
+    tree, size = RTree(points[right]), points.sum(1, dtype=np.int64)
+    a, b, shared = [], [], []
     for i in left:
         j = right[tree.near(points[i], t)]
-        j = j[(comp[j] != comp[i]) & (ids[j] != ids[i])]
-        a.append(np.minimum(ids[i], ids[j]))
-        b.append(np.maximum(ids[i], ids[j]))
-    return (np.concatenate(a), np.concatenate(b)) if a else (np.empty(0, np.int64),) * 2
+        j = j[j > i] if left is right else j[j != i]
+        a.append(np.full(len(j), i))
+        b.append(j)
+        shared.append(np.minimum(points[j], points[i]).sum(1, dtype=np.int64) / (size[j] + size[i]))
+    a, b, shared = np.concatenate(a), np.concatenate(b), np.concatenate(shared)
+    over, out = np.arange(len(points)), []
+
+    def root(x: int) -> int:
+        while over[x] != x:
+            over[x] = over[over[x]]
+            x = over[x]
+        return x
+
+    for k in np.argsort(-shared, kind="stable").tolist():
+        x, y = int(a[k]), int(b[k])
+        rx, ry = root(x), root(y)
+        if rx == ry:
+            continue
+        both = np.concatenate([sets[x], sets[y]])
+        both.sort()
+        if t.linked(int((both[1:] == both[:-1]).sum()), len(both)):
+            over[max(rx, ry)] = min(rx, ry)
+            out.append((x, y))
+    return out
+
+
+def _families(t: Threshold):
+    """From (family, i, j, own, id, point, shingles) in order of the first three to links between blocks i and j of each family."""
+
+    def solve(key: tuple, parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(parts)
+        own, ids = (longs(rows.column(c).combine_chunks()) for c in (3, 4))
+        points = np.frombuffer(b"".join(rows.column(5).to_pylist()), "<u2").reshape(-1, GROUPS)
+        sets = [np.frombuffer(x, "<u8") for x in rows.column(6).to_pylist()]
+        left = np.flatnonzero(own == key[1])
+        right = left if key[1] == key[2] else np.flatnonzero(own == key[2])
+        if len(left) and len(right):
+            links = spanning_links(points, sets, left, right, t)
+            if links:
+                x, y = ids[np.array(links).T]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+
+    def families(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, parts = None, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.stack([longs(batch.column(c)) for c in range(3)], 1)
+            starts = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]).any(1)))
+            for s, e in zip(starts, np.append(starts[1:], len(keys)), strict=True):
+                now = tuple(keys[s].tolist())
+                if parts and now != key:
+                    yield from solve(key, parts)
+                    parts = []
+                key = now
+                parts.append(batch.slice(s, e - s))
+        if parts:
+            yield from solve(key, parts)
+
+    return families
 
 
 def classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -281,41 +317,21 @@ def classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col:
     rows = texts.mapInArrow(_emit(k, t), _ROWS).repartition("sig").sortWithinPartitions("kind", "sig", "ref", "id")
     rows = table(rows.mapInArrow(_match, _ROWS), "matches")
     whole = rows.where(f"kind = {_WHOLE}").select("id", F.col("ref").alias("rep"), "n")
-    buckets = table(rows.where(f"kind = {_KEY}").join(whole.select("id", "rep"), "id").select("sig", F.col("rep").alias("id")).distinct(), "buckets")
+    buckets = rows.where(f"kind = {_KEY}").join(whole.select("id", "rep"), "id").select("sig", F.col("rep").alias("id"))
+    buckets = table(buckets.distinct(), "buckets")
     low = buckets.groupBy("sig").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("members")).where("members > 1")
-    pairs = table(buckets.join(low, "sig").where("id <> a").select("a", F.col("id").alias("b")).distinct(), "pairs")
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    sets = table(texts.join(wanted, "id", "left_semi").mapInArrow(_sets(k), "id bigint, point binary, shingles binary"), "sets")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        x = sets.select(F.col("id").alias("a"), F.col("point").alias("pa"), F.col("shingles").alias("sa"))
-        y = sets.select(F.col("id").alias("b"), F.col("point").alias("pb"), F.col("shingles").alias("sb"))
-        full = pairs.join(x, "a").join(y, "b").select("a", "b", "pa", "pb", "sa", "sb")
-        return full.mapInArrow(_verify(t), "a bigint, b bigint")
-
-    links = verified(pairs).checkpoint()
-    comp = components(links).checkpoint()
-    # buckets whose members aren't all linked yet
-    placed = buckets.join(comp.withColumnRenamed("node", "id"), "id", "left").select("sig", "id", F.coalesce("component", "id").alias("comp"))
-    open_ = placed.groupBy("sig").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("members")).where("c0 <> c1")
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    rest = placed.join(open_.select("sig", blocks.alias("blocks")), "sig")
+    pairs = buckets.join(low, "sig").where("id <> a").select("a", F.col("id").alias("b")).distinct()
+    family = components(pairs).select(F.col("node").alias("id"), F.col("component").alias("family")).checkpoint()
+    blocks = family.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    wanted = family.join(blocks, "family")
+    # up to a million ids are broadcast; more are joined by a shuffle
+    known = texts.join(F.broadcast(wanted) if family.count() <= 1_000_000 else wanted, "id")
+    sets = known.select("id", "text", "family", "blocks").mapInArrow(_sets(k), "id bigint, point binary, shingles binary, family bigint, blocks int")
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    rest = rest.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rest = rest.select("sig", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "comp")
-    rest = rest.join(sets.select("id", "point"), "id")
-
-    def trees(group):
-        p = np.stack([np.frombuffer(x, "<i4") for x in group["point"]])
-        ids, comp_, own_ = group["id"].to_numpy(), group["comp"].to_numpy(), group["own"].to_numpy()
-        left, right = np.flatnonzero(own_ == group["i"].iat[0]), np.flatnonzero(own_ == group["j"].iat[0])
-        a, b = tree_pairs(ids, comp_, p, left, right, t) if len(left) and len(right) else (np.empty(0, np.int64),) * 2
-        return pd.DataFrame({"a": a, "b": b}).drop_duplicates()
-
-    more = rest.groupBy("sig", "i", "j").applyInPandas(trees, "a bigint, b bigint").distinct()
-    more = verified(more.join(pairs, ["a", "b"], "left_anti")).checkpoint()
-    if not more.isEmpty():
-        comp = components(links.union(more))
+    dealt = sets.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "point", "shingles")
+    links = dealt.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j").mapInArrow(_families(t), "a bigint, b bigint")
+    comp = components(links.distinct().checkpoint())
     comp = comp.withColumnRenamed("node", "rep")
     first = whole.join(comp, "rep", "left").select("id", "n", F.coalesce("component", "rep").alias("component_id")).checkpoint()
     same = rows.where(f"kind = {_SAME}").select("id", "ref", "n")

@@ -100,8 +100,10 @@ def test_ngram_join(docs, texts, nothing, k, num):
     assert ngram_join.classes(nothing).count() == 0
 
 
-def test_ngram_join_of_a_chain(spark):
-    """Neighbours link and the ends don't: one component, from a bucket that one star doesn't span."""
+@pytest.mark.parametrize("block", [1000, 7])
+def test_ngram_join_of_a_chain(spark, monkeypatch, block):
+    """Neighbours link and the ends don't: one component, also when the family is dealt out in blocks."""
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
     w = [f"w{i}" for i in range(400)]
     texts = [(i, " ".join(w[3 * i : 300 + 3 * i])) for i in range(30)]
     got = ngram_join.classes(spark.createDataFrame(texts, "doc_id bigint, text string"), 3, 90, 100).collect()
@@ -111,11 +113,11 @@ def test_ngram_join_of_a_chain(spark):
 def test_rtree_finds_all_near_points():
     rng = np.random.default_rng(2)
     t = ngram_join.Threshold(80, 100)
-    points = rng.poisson(4, (700, ngram_join.GROUPS)).astype("<i4")
-    points[350:] = np.maximum(0, points[:350] + rng.integers(-1, 2, points[:350].shape) * (rng.random(points[:350].shape) < 0.2))
+    points = rng.poisson(4, (700, ngram_join.GROUPS)).astype("<u2")
+    points[350:] = np.maximum(0, points[:350].astype(int) + rng.integers(-1, 2, points[:350].shape) * (rng.random(points[:350].shape) < 0.2))
     tree = ngram_join.RTree(points)
     for i in range(0, 700, 7):
-        want = np.flatnonzero(t.linked(np.minimum(points, points[i]).sum(1), points.sum(1) + points[i].sum()))
+        want = np.flatnonzero(t.linked(np.minimum(points, points[i]).sum(1, dtype=int), points.sum(1, dtype=int) + int(points[i].sum())))
         assert sorted(tree.near(points[i], t)) == want.tolist()
 
 
