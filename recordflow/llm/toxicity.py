@@ -3,8 +3,10 @@
 Terms of a text are its distinct words (letters, in lower case) and the five-letter runs of each word with
 its beginning marked, hashed into 2^20 slots. The machine scores a text by a bias, a weight a slot and the
 inner products of the slots' factors, so that two terms can count together (an insult and the mention of a
-group) that count for little alone. Only slots that several sampled texts hold, and that tell the labels
-apart best, get a weight; there are at most `slots` of them.
+group) that count for little alone. Of the slots that LEAST or more sampled texts hold, the `slots` that tell the
+labels apart best (by chi-square) get a weight, whatever the size of the sample. No chi-square is too low: it sets
+how far a slot's weight and factors move in a round (in full from SURE, below that by the square of its share of
+SURE), because with so many slots chance alone gives thousands that seem to tell a little.
 
 Learning takes a bounded sample of the labelled rows: of each label the `most` rows first by hash of their
 identifier. The sample's texts are reduced to slots on the executors; the driver gets at most 2 * most arrays
@@ -28,6 +30,8 @@ from pyspark.sql import functions as F
 from .common import fresh, octets, widened
 
 SLOTS = 1 << 20
+LEAST = 3
+SURE = 50.0
 _SPLIT = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
@@ -74,13 +78,12 @@ def learn(rows: list[tuple[int, bytes]], share: float | None = None, slots: int
     for label, slots_ in rows:  # a row's slots are distinct
         (pos if label else neg)[np.frombuffer(slots_, "<i4")] += 1
     n1, n0 = y.sum(), (1 - y).sum()
-    least = 3 if len(y) < 2000 else 6
-    seen = np.flatnonzero(pos + neg >= least)
+    seen = np.flatnonzero(pos + neg >= LEAST)
     p, q = pos[seen].astype(float), neg[seen].astype(float)
     chi = (p * (n0 - q) - q * (n1 - p)) ** 2 / ((p + q) * np.maximum(n0 + n1 - p - q, 1))
-    order = np.argsort(-chi, kind="stable")[:slots]
-    sure = 8.0 if len(y) < 2000 else 25.0  # of chi-square: with so many slots, chance alone gives thousands above 4
-    best = np.sort(seen[order[chi[order] > sure * n1 * n0 / (n1 + n0)]])
+    chi *= (n1 + n0) / (n1 * n0)
+    order = np.sort(np.argsort(-chi, kind="stable")[:slots])
+    best, trust = seen[order], np.minimum(1, chi[order] / SURE) ** 2
     where = np.full(SLOTS, -1, np.int32)
     where[best] = np.arange(len(best))
     at, of = [], []
@@ -89,7 +92,7 @@ def learn(rows: list[tuple[int, bytes]], share: float | None = None, slots: int
         at.append(got[got >= 0])
         of.append(np.full(len(at[-1]), i, np.int32))
     at, of = np.concatenate(at), np.concatenate(of)
-    w, v = np.zeros(len(best)), np.random.default_rng(seed).normal(0, 0.01, (k, len(best)))
+    w, v = np.zeros(len(best)), np.random.default_rng(seed).normal(0, 0.01, (k, len(best))) * trust
     bias = float(np.log(n1 / n0))
     gw, gv, gb = np.full(len(best), 1.0), np.full((k, len(best)), 1.0), 1.0
     n = len(y)
@@ -106,10 +109,10 @@ def learn(rows: list[tuple[int, bytes]], share: float | None = None, slots: int
         for s, x, g in zip(sums, v, gv, strict=True):
             dx = np.bincount(at, by * s[of], len(w)) - total * x + 1.0 * x
             g += dx**2
-            x -= 0.05 * dx / np.sqrt(g)
+            x -= 0.05 * trust * dx / np.sqrt(g)
         db = d.sum()
         gw, gb = gw + dw**2, gb + db**2
-        w -= 0.3 * dw / np.sqrt(gw)
+        w -= 0.3 * trust * dw / np.sqrt(gw)
         bias -= 0.3 * db / np.sqrt(gb)
     if share is not None and 0 < share < 1:
         bias += 0.5 * float(np.log(share / (1 - share)))  # half way from even odds to those of all labelled rows

@@ -258,6 +258,21 @@ def test_toxicity_learns_an_interaction(spark, docs, texts, nothing):
     assert toxicity.score(nothing, machine)[0].count() == 0
 
 
+@pytest.mark.parametrize("toxic,clean,held", [(350, 1200, 4), (350, 2950, 4), (350, 9000, 4), (4000, 4000, 10)])
+def test_toxicity_keeps_terms_of_few_toxic_rows(toxic, clean, held):
+    """More labelled rows take no weight from an insult that only toxic rows hold."""
+    rng = np.random.default_rng(9)
+    rare, common = toxicity.word_slots(b"rareinsult"), toxicity.word_slots(b"nastyword")
+
+    def row(i, label):
+        own = rng.integers(0, 300, 8).tolist() + (list(rare) if label and i < held else []) + (list(common) if label and i >= held else [])
+        return label, np.unique(np.array(own, "<i4")).tobytes()
+
+    machine = toxicity.learn([row(i, 1) for i in range(toxic)] + [row(i, 0) for i in range(clean)])
+    weights = dict(zip(machine.slots.tolist(), machine.weights.tolist(), strict=True))
+    assert all(weights.get(s, 0) > 0 for s in rare)
+
+
 def test_quality(spark, docs, texts, nothing):
     rng = random.Random(7)
 
