@@ -188,7 +188,7 @@ def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def point(s: np.ndarray) -> np.ndarray:
     """Counts by group."""
-    return np.bincount((s % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS).astype("<u2")  # a count beyond 65,535 takes a text of 16 million words
+    return np.bincount((s % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS).astype("<u4")
 
 
 def _sets(k: int):
@@ -280,7 +280,7 @@ def _families(t: Threshold):
     def solve(key: tuple, parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = pa.Table.from_batches(parts)
         own, ids = (longs(rows.column(c).combine_chunks()) for c in (3, 4))
-        points = np.frombuffer(b"".join(rows.column(5).to_pylist()), "<u2").reshape(-1, GROUPS)
+        points = np.frombuffer(b"".join(rows.column(5).to_pylist()), "<u4").reshape(-1, GROUPS)
         sets = [np.frombuffer(x, "<u8") for x in rows.column(6).to_pylist()]
         left = np.flatnonzero(own == key[1])
         right = left if key[1] == key[2] else np.flatnonzero(own == key[2])

@@ -121,6 +121,16 @@ def test_rtree_finds_all_near_points():
         assert sorted(tree.near(points[i], t)) == want.tolist()
 
 
+def test_points_of_long_texts():
+    """Groups of more than 65,535 shingles: the counts still bound what two sets share."""
+    s = np.arange(70_000, dtype=np.uint64) * np.uint64(ngram_join.GROUPS)
+    sets = [s, s[:-1000]]
+    points = np.stack([ngram_join.point(x) for x in sets])
+    assert points.sum(1).tolist() == [70_000, 69_000]
+    both = np.arange(2)
+    assert ngram_join.spanning_links(points, sets, both, both, ngram_join.Threshold(90, 100)) == [(0, 1)]
+
+
 def test_suffix_dedup(docs, texts, nothing):
     length = 120
     seen = collections.Counter()
