@@ -16,7 +16,8 @@ Buckets that share a member are one family (connected components of each member
 each text is in one family only, so its set is shuffled once. A family's task builds an R-tree over its points and
 goes through the pairs that the bound lets be linked, the closest first: pairs that are in one component by then are
 skipped, the others verified on their sets. It gives only the links that join components, so a group of near
-copies, however close, costs links in proportion to its size. A family of more than BLOCK texts is dealt out in
+copies, however close, costs links in proportion to its size. Where links are to be counted, all pairs that the bound
+lets be linked are verified, and each text's links are added up in the task; pairs are not given out. A family of more than BLOCK texts is dealt out in
 blocks, each pair of blocks to a task of its own.
 
 Texts with equal sets are collapsed to one representative before all that; within a task only the first of
@@ -25,7 +26,8 @@ them gives keys, so a set that a third of all rows share is no hot key.
 Defined cases: null, empty or blank texts have no shingles, size 0, and are a component of their own. A text
 of fewer than k words has its whole sequence as its only shingle. Rows without identifier get a null component
 and are linked with nothing. Rows that share an identifier are each given back; a link of one is a link of all.
-An empty table gives no rows.
+An empty table gives no rows. A text's links are the other rows, equal ones among them, whose sets link with its set;
+their number presumes that rows which share an identifier share their text.
 """
 
 from __future__ import annotations
@@ -196,7 +198,7 @@ def _sets(k: int):
         memo = Memo()
         for b in batches:
             got = [shingles(t, k, memo) for t in octets(b.column(1))]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([point(s).tobytes() for s in got], pa.binary()), pa.array([s.tobytes() for s in got], pa.binary()), b.column(2), b.column(3)], ["id", "point", "shingles", "family", "blocks"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([point(s).tobytes() for s in got], pa.binary()), pa.array([s.tobytes() for s in got], pa.binary()), b.column(2), b.column(3), b.column(4)], ["id", "point", "shingles", "family", "blocks", "copies"])
 
     return sets
 
@@ -274,21 +276,63 @@ def spanning_links(points: np.ndarray, sets: list[np.ndarray], left: np.ndarray,
     return out
 
 
-def _families(t: Threshold):
-    """From (family, i, j, own, id, point, shingles) in order of the first three to links between blocks i and j of each family."""
+def all_links(points: np.ndarray, sets: list[np.ndarray], copies: np.ndarray, left: np.ndarray, right: np.ndarray, t: Threshold) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Links as spanning_links gives them, and for each text how many rows of the other side it links with."""
+    tree, sizes = RTree(points[right]), np.array([len(s) for s in sets])
+    codes = np.split(np.unique(np.concatenate(sets), return_inverse=True)[1], np.cumsum(sizes)[:-1])
+    held = np.zeros(int(sizes.sum()), bool)
+    over, out, counts = list(range(len(sets))), [], np.zeros(len(sets), np.int64)
+
+    def root(x: int) -> int:
+        while over[x] != x:
+            over[x] = over[over[x]]
+            x = over[x]
+        return x
+
+    for i in left.tolist():
+        j = right[tree.near(points[i], t)]
+        j = j[j > i] if left is right else j[j != i]
+        held[codes[i]] = True
+        shared = np.fromiter((np.count_nonzero(held[codes[x]]) for x in j.tolist()), np.int64, len(j))
+        held[codes[i]] = False
+        j = j[t.linked(shared, sizes[j] + sizes[i])]
+        counts[i] += copies[j].sum()
+        counts[j] += copies[i]
+        for x in j.tolist():
+            ri, rx = root(i), root(x)
+            if ri != rx:
+                over[max(ri, rx)] = min(ri, rx)
+                out.append((i, x))
+    return out, counts
+
+
+def _families(t: Threshold, count: bool):
+    """From (family, i, j, own, id, point, shingles, copies) in order of the first three to links between blocks i and j of each family.
+
+    With count, also a row (id, null, n) of each text that has links there, to n rows.
+    """
 
     def solve(key: tuple, parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = pa.Table.from_batches(parts)
+        if count:  # rows that share identifier and text are one, with all their copies
+            seen = dict(zip(zip(rows.column(4).to_pylist(), rows.column(6).to_pylist(), strict=True), range(rows.num_rows), strict=True))
+            if len(seen) < rows.num_rows:
+                rows = rows.take(pa.array(sorted(seen.values()), pa.int64())).combine_chunks()
         own, ids = (longs(rows.column(c).combine_chunks()) for c in (3, 4))
         points = np.frombuffer(b"".join(rows.column(5).to_pylist()), "<u4").reshape(-1, GROUPS)
         sets = [np.frombuffer(x, "<u8") for x in rows.column(6).to_pylist()]
         left = np.flatnonzero(own == key[1])
         right = left if key[1] == key[2] else np.flatnonzero(own == key[2])
         if len(left) and len(right):
-            links = spanning_links(points, sets, left, right, t)
+            if count:
+                links, counts = all_links(points, sets, longs(rows.column(7).combine_chunks()), left, right, t)
+                some = np.flatnonzero(counts)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.nulls(len(some), pa.int64()), pa.array(counts[some])], ["a", "b", "n"])
+            else:
+                links = spanning_links(points, sets, left, right, t)
             if links:
                 x, y = ids[np.array(links).T]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.nulls(len(x), pa.int64())], ["a", "b", "n"])
 
     def families(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, parts = None, []
@@ -310,8 +354,8 @@ def _families(t: Threshold):
     return families
 
 
-def classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row per row of docs: id, n_shingles, component_id. Sets link where Jaccard >= num / den."""
+def classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", count: bool = False) -> DataFrame:
+    """A row per row of docs: id, n_shingles, component_id and, with count, n_links. Sets link where Jaccard >= num / den."""
     t = Threshold(num, den)
     texts = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     rows = texts.mapInArrow(_emit(k, t), _ROWS).repartition("sig").sortWithinPartitions("kind", "sig", "ref", "id")
@@ -323,20 +367,35 @@ def classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col:
     pairs = buckets.join(low, "sig").where("id <> a").select("a", F.col("id").alias("b")).distinct()
     family = components(pairs).select(F.col("node").alias("id"), F.col("component").alias("family")).checkpoint()
     blocks = family.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    same = rows.where(f"kind = {_SAME}").select("id", "ref", "n")
+    if count:
+        again = same.where("n > 0").groupBy(F.col("ref").alias("id")).agg(F.count(F.lit(1)).alias("more"))
+        # of rows that share an identifier, one takes the copies that other rows name by it
+        whole_ids = whole.groupBy("id", "rep").agg(F.count(F.lit(1)).alias("own"))
+        copies = whole_ids.join(again, "id", "left").groupBy("rep").agg(F.sum(F.col("own") + F.coalesce("more", F.lit(0))).alias("copies")).checkpoint()
+        family = family.join(copies.withColumnRenamed("rep", "id"), "id")
+    else:
+        family = family.withColumn("copies", F.lit(1).cast("bigint"))
     wanted = family.join(blocks, "family")
     # up to a million ids are broadcast; more are joined by a shuffle
     known = texts.join(F.broadcast(wanted) if family.count() <= 1_000_000 else wanted, "id")
-    sets = known.select("id", "text", "family", "blocks").mapInArrow(_sets(k), "id bigint, point binary, shingles binary, family bigint, blocks int")
+    sets = known.select("id", "text", "family", "blocks", "copies").mapInArrow(_sets(k), "id bigint, point binary, shingles binary, family bigint, blocks int, copies bigint")
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     dealt = sets.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "point", "shingles")
-    links = dealt.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j").mapInArrow(_families(t), "a bigint, b bigint")
-    comp = components(links.distinct().checkpoint())
+    dealt = dealt.select("family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "point", "shingles", "copies")
+    links = dealt.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j").mapInArrow(_families(t, count), "a bigint, b bigint, n bigint").checkpoint()
+    comp = components(links.where("b is not null").select("a", "b").distinct().checkpoint())
     comp = comp.withColumnRenamed("node", "rep")
-    first = whole.join(comp, "rep", "left").select("id", "n", F.coalesce("component", "rep").alias("component_id")).checkpoint()
-    same = rows.where(f"kind = {_SAME}").select("id", "ref", "n")
-    again = same.join(first.select(F.col("id").alias("ref"), "component_id").distinct(), "ref", "left").select("id", "n", F.coalesce("component_id", "ref").alias("component_id"))
-    return first.union(again).select("id", F.col("n").alias("n_shingles"), "component_id")
+    first = whole.join(comp, "rep", "left")
+    if count:
+        found = links.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("found"))
+        first = first.join(copies, "rep").join(found, "rep", "left").withColumn("n_links", F.coalesce("found", F.lit(0)) + F.col("copies") - 1)
+    more = ["n_links"] if count else []
+    first = first.select("id", "n", F.coalesce("component", "rep").alias("component_id"), *more).checkpoint()
+    again = same.join(first.select(F.col("id").alias("ref"), "component_id", *more).distinct(), "ref", "left")
+    links_again = [F.when(F.col("n") > 0, F.coalesce("n_links", F.lit(0))).otherwise(0).alias("n_links")] if count else []
+    again = again.select("id", "n", F.coalesce("component_id", "ref").alias("component_id"), *links_again)
+    return first.union(again).select("id", F.col("n").alias("n_shingles"), "component_id", *more)
 
 
 def dedup(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -24,6 +24,12 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "doc_id")
 
 
+def op1_ngram_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op1_ngram_join with the number of each document's links."""
+    found = ngram_join.classes(_read(spark, sf_dir, "documents"), k=3, num=90, den=100, count=True)
+    return found.withColumnRenamed("id", "doc_id")
+
+
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeats(_read(spark, sf_dir, "documents"), length=400).drop("spans")
 
@@ -73,7 +79,7 @@ def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.select("doc_id", *[F.col(n).alias(o) for n, o in zip(names, out, strict=True)])
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_suffix_dedup, op3_sharding, op4_quality, op5_exact_dedup, op6_line_dedup, op7_langid, op8_toxicity, op9_packing, op10_decontam)}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op1_ngram_links, op2_suffix_dedup, op3_sharding, op4_quality, op5_exact_dedup, op6_line_dedup, op7_langid, op8_toxicity, op9_packing, op10_decontam)}
 
 _LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -117,3 +123,8 @@ with d as (select doc_id, regexp_extract_all({_LOWERED}, '[^\x00-\x2F\x3A-\x60\x
 select d.doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * n_hit >= len(w) as contaminated
 from d left join n on d.doc_id = n.doc_id left join x on d.doc_id = x.doc_id""",
 }
+
+# the same links, counted at both ends
+ORACLE["op1_ngram_links"] = ORACLE["op1_ngram_join"].replace(
+    "min(r.seen) as component_id from", "min(r.seen) as component_id, (select count(*) from both_ways t where t.a = s.doc_id) as n_links from"
+)

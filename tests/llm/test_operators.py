@@ -110,6 +110,21 @@ def test_ngram_join_of_a_chain(spark, monkeypatch, block):
     assert {r.component_id for r in got} == {0}
 
 
+@pytest.mark.parametrize("block", [1000, 7])
+def test_ngram_join_counts_all_links(spark, monkeypatch, block):
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    w = [f"w{i}" for i in range(400)]
+    texts = [(i, " ".join(w[3 * i : 300 + 3 * i])) for i in range(30)]
+    texts += [(100 + i, texts[i % 5][1].upper()) for i in range(12)] + [(200, "alone"), (201, None), (202, ""), (None, texts[0][1])]
+    sets = {i: {tuple(x[j : j + 3]) for j in range(len(x) - 2)} for i, t in texts if i is not None for x in [(t or "").lower().split()]}
+    links = {i: sum(100 * len(a & b) >= 90 * len(a | b) for j, b in sets.items() if j != i and a and b) for i, a in sets.items()}
+    df = spark.createDataFrame(texts, "doc_id bigint, text string").repartition(3)
+    got = ngram_join.classes(df, 3, 90, 100, count=True).collect()
+    assert len(got) == len(texts) and max(links.values()) > 10
+    assert {r.id: r.n_links for r in got} == links | {None: 0}
+    assert {r.component_id for r in got if r.id is not None and r.id < 200} == {0}
+
+
 def test_rtree_finds_all_near_points():
     rng = np.random.default_rng(2)
     t = ngram_join.Threshold(80, 100)
