@@ -2,6 +2,10 @@
 
 Every step is a pre-aggregated minimum and a join; nothing is collected but two numbers a round. Each round's
 edges are checkpointed in the folder all executors share.
+
+Defined cases: edges with a null end or from a node to itself don't count, repeated ones count once, and an empty
+table gives no rows. What isn't found after `rounds` rounds (they grow as the square of the logarithm of a
+component's size) raises an error; an unfinished result is never given.
 """
 
 from __future__ import annotations
@@ -31,4 +35,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
         near = large.join(low, "u")
         small = near.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
         e = small.distinct().checkpoint()
+    else:
+        raise RuntimeError(f"components of {before[0]} edges are not found after {rounds} rounds")
     return e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")).union(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

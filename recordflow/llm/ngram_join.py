@@ -12,13 +12,18 @@ are near enough agree in at least 2 s + 1 whole slices; each text leaves out its
 little, so a slice is left that both give. Each is a bucket key. Texts give keys for their size class and for
 each class in which a larger partner can be. Keys are shuffled and sorted; keys of one text only go at once.
 
-Buckets that share a member are one family (connected components of each member with its bucket's smallest), and
-each text is in one family only, so its set is shuffled once. A family's task builds an R-tree over its points and
-goes through the pairs that the bound lets be linked, the closest first: pairs that are in one component by then are
-skipped, the others verified on their sets. It gives only the links that join components, so a group of near
-copies, however close, costs links in proportion to its size. Where links are to be counted, all pairs that the bound
-lets be linked are verified, and each text's links are added up in the task; pairs are not given out. A family of more than BLOCK texts is dealt out in
-blocks, each pair of blocks to a task of its own.
+Pairs are settled in two steps. First each bucket's hub, the member whose buckets hold most texts in all, is
+compared with the other members: by the bound on their points, then on their sets. A group of near copies shares
+most of its buckets and so most of its hubs, which makes its links grow with its size and not with its pairs.
+What is left are buckets that hold members of two components besides the hub. Their points go into an R-tree, and
+members of different components that the bound lets be linked become candidates; a bucket gives only as many of
+these as hold its candidates together. Candidates that hang together are a family, and only families' sets are
+shuffled. A family's task builds an R-tree over its points and goes through the pairs that the bound lets be
+linked, the closest first: pairs that are in one component by then are skipped, the others verified on their sets.
+It gives only the links that join components. Where links are to be counted, the first step is left out, all pairs
+that the bound lets be linked are verified, and each text's links are added up in the task; pairs are not given
+out. Buckets and families of more than BLOCK texts (or, for sets, SHINGLES shingles) are dealt out in blocks, each
+pair of blocks to a task of its own; blocks of a family's largest component aren't paired with each other.
 
 Texts with equal sets are collapsed to one representative before all that; within a task only the first of
 them gives keys, so a set that a third of all rows share is no hot key.
@@ -27,7 +32,9 @@ Defined cases: null, empty or blank texts have no shingles, size 0, and are a co
 of fewer than k words has its whole sequence as its only shingle. Rows without identifier get a null component
 and are linked with nothing. Rows that share an identifier are each given back; a link of one is a link of all.
 An empty table gives no rows. A text's links are the other rows, equal ones among them, whose sets link with its set;
-their number presumes that rows which share an identifier share their text.
+their number presumes that rows which share an identifier share their text. Very long texts make one row of keys
+each a slice and one set; texts are never cut. Columns of docs other than the two named are not read by classes() and
+may have any name; dedup() gives them back as they are.
 """
 
 from __future__ import annotations
@@ -46,7 +53,8 @@ from .common import Memo, fresh, grams, longs, mix, numbers, octets, slices, tab
 from .components import components
 
 GROUPS = 256  # coordinates of a point in the trees
-BLOCK = 1000  # texts of a family in one tree
+BLOCK = 1000  # texts of a family, or hub's partners, in one task
+SHINGLES = 4_000_000  # of a family's block, about
 LEAF = 32
 
 
@@ -104,7 +112,8 @@ def keys(s: np.ndarray, t: Threshold) -> np.ndarray:
     return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
-_ROWS = "sig bigint, kind byte, id bigint, ref bigint, n bigint"
+_ROWS = "sig bigint, kind byte, id bigint, ref bigint, n bigint, point binary"
+_NAMES = ["sig", "kind", "id", "ref", "n", "point"]
 _WHOLE, _KEY, _SAME = 0, 1, 2
 
 
@@ -116,7 +125,7 @@ def _emit(k: int, t: Threshold):
         for b in batches:
             ids, texts = b.column(0).to_pylist(), octets(b.column(1))
             for i, j in slices(texts, 4_000_000):
-                sig, kind, own, ref, size = [], [], [], [], []
+                sig, kind, own, ref, size, points = [], [], [], [], [], []
                 for d, text in zip(ids[i:j], texts[i:j], strict=True):
                     s = shingles(text, k, memo)
                     n = len(s)
@@ -138,6 +147,7 @@ def _emit(k: int, t: Threshold):
                             own += [d] * (1 + len(own_keys))
                             ref += [row[0][2]] + [0] * len(own_keys)
                             size += [n] * (1 + len(own_keys))
+                            points += [packed(point(s))] + [None] * len(own_keys)
                             continue
                         sig.append(np.array([d * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF], np.uint64))
                         row = [(_SAME, d, one)]
@@ -145,7 +155,8 @@ def _emit(k: int, t: Threshold):
                     own.append(d)
                     ref.append(row[0][2])
                     size.append(n)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sig).view(np.int64)), pa.array(kind, pa.int8()), pa.array(own, pa.int64()), pa.array(ref, pa.int64()), pa.array(size, pa.int64())], ["sig", "kind", "id", "ref", "n"])
+                    points.append(None)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sig).view(np.int64)), pa.array(kind, pa.int8()), pa.array(own, pa.int64()), pa.array(ref, pa.int64()), pa.array(size, pa.int64()), pa.array(points, pa.binary())], _NAMES)
 
     return emit
 
@@ -157,7 +168,7 @@ def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list = []  # a key's first row, until the second comes
 
     def row(x) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([x[0]], pa.int64()), pa.array([x[1]], pa.int8()), pa.array([x[2]], pa.int64()), pa.array([x[3]], pa.int64()), pa.array([x[4]], pa.int64())], ["sig", "kind", "id", "ref", "n"])
+        return pa.RecordBatch.from_arrays([pa.array([x[0]], pa.int64()), pa.array([x[1]], pa.int8()), pa.array([x[2]], pa.int64()), pa.array([x[3]], pa.int64()), pa.array([x[4]], pa.int64()), pa.nulls(1, pa.binary())], _NAMES)
 
     for b in batches:
         n = b.num_rows
@@ -181,11 +192,11 @@ def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held = [(int(sig[-1]), _KEY, int(own[-1]), 0, int(size[-1]))]
         last, low = (int(kind[-1]), int(sig[-1]), int(ref[-1])), int(lows[-1])
         out_ref = np.where(kind == _WHOLE, lows, np.where(kind == _SAME, ref, 0))
-        cols = [pa.array(sig), b.column(1), b.column(2), pa.array(out_ref), b.column(4)]
+        cols = [pa.array(sig), b.column(1), b.column(2), pa.array(out_ref), b.column(4), b.column(5).cast(pa.binary())]
         mask = pa.array(keep)
         null_ref = pa.array((kind == _SAME) & np.asarray(b.column(3).is_null()))
         cols[3] = pc.if_else(null_ref, pa.scalar(None, pa.int64()), cols[3])
-        yield pa.RecordBatch.from_arrays([c.filter(mask) for c in cols], ["sig", "kind", "id", "ref", "n"])
+        yield pa.RecordBatch.from_arrays([c.filter(mask) for c in cols], _NAMES)
 
 
 def point(s: np.ndarray) -> np.ndarray:
@@ -193,12 +204,27 @@ def point(s: np.ndarray) -> np.ndarray:
     return np.bincount((s % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS).astype("<u4")
 
 
-def _sets(k: int):
+def packed(x: np.ndarray) -> bytes:
+    """A point in as few bytes a count as hold it."""
+    return x.astype("<u1" if x.max(initial=0) < 256 else "<u4").tobytes()
+
+
+def unpacked(points: list[bytes]) -> np.ndarray:
+    """Points, one a row."""
+    out = np.empty((len(points), GROUPS), "<u4")
+    for i, x in enumerate(points):
+        out[i] = np.frombuffer(x, "<u1" if len(x) == GROUPS else "<u4")
+    return out
+
+
+def _sets(k: int, names: list[str]):
+    """The second column's shingles in place of the text; what else is named goes through."""
+
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = Memo()
         for b in batches:
-            got = [shingles(t, k, memo) for t in octets(b.column(1))]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([point(s).tobytes() for s in got], pa.binary()), pa.array([s.tobytes() for s in got], pa.binary()), b.column(2), b.column(3), b.column(4)], ["id", "point", "shingles", "family", "blocks", "copies"])
+            got = [shingles(t, k, memo).tobytes() for t in octets(b.column(1))]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.binary()), *b.columns[2:]], names)
 
     return sets
 
@@ -244,35 +270,65 @@ class RTree:
         return rows[t.linked(np.minimum(self.points[rows], q).sum(1, dtype=np.int64), self.size[rows] + size)]
 
 
-def spanning_links(points: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, t: Threshold) -> list[tuple[int, int]]:
-    """Links between rows of `left` and rows of `right` that join them as all links would."""
+class Union:
+    """Disjoint sets of the numbers up to n; `of` names the set that each is in from the start."""
+
+    def __init__(self, n: int, of: np.ndarray | None = None):
+        self.over = list(range(n))
+        if of is not None:
+            _, first, inverse = np.unique(of, return_index=True, return_inverse=True)
+            self.over = first[inverse].tolist()
+
+    def root(self, x: int) -> int:
+        over = self.over
+        while over[x] != x:
+            over[x] = over[over[x]]
+            x = over[x]
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        """Whether x and y were apart."""
+        x, y = self.root(x), self.root(y)
+        self.over[max(x, y)] = min(x, y)
+        return x != y
+
+
+def candidates(points: np.ndarray, comp: np.ndarray, left: np.ndarray, right: np.ndarray, t: Threshold) -> tuple[np.ndarray, ...]:
+    """(a, b, bound on what they share) of rows of `left` and of `right` in different components that the bound lets be linked."""
+    if len(left) > len(right):
+        left, right = right, left
+    same = len(left) == len(right) and bool((left == right).all())
+    if same:  # each such pair has an end outside the largest component
+        value, count = np.unique(comp[left], return_counts=True)
+        asked = left[comp[left] != value[count.argmax()]]
+    else:
+        asked = left
     tree, size = RTree(points[right]), points.sum(1, dtype=np.int64)
-    a, b, shared = [], [], []
-    for i in left:
+    took = np.zeros(len(points), bool)
+    took[asked] = same
+    a, b, shared = [left[:0]], [left[:0]], [np.empty(0)]
+    for i in asked:
         j = right[tree.near(points[i], t)]
-        j = j[j > i] if left is right else j[j != i]
+        j = j[(comp[j] != comp[i]) & ~(took[j] & (j <= i))]
         a.append(np.full(len(j), i))
         b.append(j)
         shared.append(np.minimum(points[j], points[i]).sum(1, dtype=np.int64) / (size[j] + size[i]))
-    a, b, shared = np.concatenate(a), np.concatenate(b), np.concatenate(shared)
-    over, out = np.arange(len(points)), []
+    return np.concatenate(a), np.concatenate(b), np.concatenate(shared)
 
-    def root(x: int) -> int:
-        while over[x] != x:
-            over[x] = over[over[x]]
-            x = over[x]
-        return x
 
+def spanning_links(points: np.ndarray, sets: list[np.ndarray], comp: np.ndarray, left: np.ndarray, right: np.ndarray, t: Threshold) -> list[tuple[int, int]]:
+    """Links between rows of `left` and rows of `right` that join their components as all links would."""
+    a, b, shared = candidates(points, comp, left, right, t)
+    over, out = Union(len(points), comp), []
     for k in np.argsort(-shared, kind="stable").tolist():
         x, y = int(a[k]), int(b[k])
-        rx, ry = root(x), root(y)
-        if rx == ry:
+        if over.root(x) == over.root(y):
             continue
         both = np.concatenate([sets[x], sets[y]])
         both.sort()
         if t.linked(int((both[1:] == both[:-1]).sum()), len(both)):
-            over[max(rx, ry)] = min(rx, ry)
-            out.append((x, y))
+            over.join(x, y)
+            out.append((min(x, y), max(x, y)))
     return out
 
 
@@ -281,14 +337,7 @@ def all_links(points: np.ndarray, sets: list[np.ndarray], copies: np.ndarray, le
     tree, sizes = RTree(points[right]), np.array([len(s) for s in sets])
     codes = np.split(np.unique(np.concatenate(sets), return_inverse=True)[1], np.cumsum(sizes)[:-1])
     held = np.zeros(int(sizes.sum()), bool)
-    over, out, counts = list(range(len(sets))), [], np.zeros(len(sets), np.int64)
-
-    def root(x: int) -> int:
-        while over[x] != x:
-            over[x] = over[over[x]]
-            x = over[x]
-        return x
-
+    over, out, counts = Union(len(sets)), [], np.zeros(len(sets), np.int64)
     for i in left.tolist():
         j = right[tree.near(points[i], t)]
         j = j[j > i] if left is right else j[j != i]
@@ -298,60 +347,169 @@ def all_links(points: np.ndarray, sets: list[np.ndarray], copies: np.ndarray, le
         j = j[t.linked(shared, sizes[j] + sizes[i])]
         counts[i] += copies[j].sum()
         counts[j] += copies[i]
-        for x in j.tolist():
-            ri, rx = root(i), root(x)
-            if ri != rx:
-                over[max(ri, rx)] = min(ri, rx)
-                out.append((i, x))
+        out += [(i, x) for x in j.tolist() if over.join(i, x)]
     return out, counts
 
 
-def _families(t: Threshold, count: bool):
-    """From (family, i, j, own, id, point, shingles, copies) in order of the first three to links between blocks i and j of each family.
+def _groups(solve, width: int):
+    """Runs solve(key, rows) for rows in order of their first `width` columns, a run of equal ones at a time."""
 
-    With count, also a row (id, null, n) of each text that has links there, to n rows.
-    """
-
-    def solve(key: tuple, parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = pa.Table.from_batches(parts)
-        if count:  # rows that share identifier and text are one, with all their copies
-            seen = dict(zip(zip(rows.column(4).to_pylist(), rows.column(6).to_pylist(), strict=True), range(rows.num_rows), strict=True))
-            if len(seen) < rows.num_rows:
-                rows = rows.take(pa.array(sorted(seen.values()), pa.int64())).combine_chunks()
-        own, ids = (longs(rows.column(c).combine_chunks()) for c in (3, 4))
-        points = np.frombuffer(b"".join(rows.column(5).to_pylist()), "<u4").reshape(-1, GROUPS)
-        sets = [np.frombuffer(x, "<u8") for x in rows.column(6).to_pylist()]
-        left = np.flatnonzero(own == key[1])
-        right = left if key[1] == key[2] else np.flatnonzero(own == key[2])
-        if len(left) and len(right):
-            if count:
-                links, counts = all_links(points, sets, longs(rows.column(7).combine_chunks()), left, right, t)
-                some = np.flatnonzero(counts)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.nulls(len(some), pa.int64()), pa.array(counts[some])], ["a", "b", "n"])
-            else:
-                links = spanning_links(points, sets, left, right, t)
-            if links:
-                x, y = ids[np.array(links).T]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.nulls(len(x), pa.int64())], ["a", "b", "n"])
-
-    def families(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, parts = None, []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            keys = np.stack([longs(batch.column(c)) for c in range(3)], 1)
+            keys = np.stack([longs(batch.column(c)) for c in range(width)], 1)
             starts = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]).any(1)))
             for s, e in zip(starts, np.append(starts[1:], len(keys)), strict=True):
                 now = tuple(keys[s].tolist())
                 if parts and now != key:
-                    yield from solve(key, parts)
+                    yield from solve(key, pa.Table.from_batches(parts))
                     parts = []
                 key = now
                 parts.append(batch.slice(s, e - s))
         if parts:
-            yield from solve(key, parts)
+            yield from solve(key, pa.Table.from_batches(parts))
+
+    return groups
 
-    return families
+
+def _sides(key: tuple, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    left = np.flatnonzero(own == key[1])
+    return left, left if key[1] == key[2] else np.flatnonzero(own == key[2])
+
+
+def _pairs(x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.nulls(len(x), pa.int64())], ["a", "b", "n"])
+
+
+_LINKS = "a bigint, b bigint, n bigint"
+
+
+def _bounded(t: Threshold):
+    """Of (hub, id, hub's point, point) the pairs that the bound lets be linked."""
+
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = (unpacked(b.column(c).to_pylist()) for c in (2, 3))
+            keep = t.linked(np.minimum(x, y).sum(1, dtype=np.int64), x.sum(1, dtype=np.int64) + y.sum(1, dtype=np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(c).filter(pa.array(keep)) for c in (0, 1)], ["hub", "id"])
+
+    return bounded
+
+
+def _stars(t: Threshold):
+    """From (hub, salt, role, id, shingles) in that order, the hub's own sets in role 0, to the links of the hub."""
+
+    def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, hubs = None, []
+        for b in batches:
+            links = []
+            for hub, salt, role, i, s in zip(*[b.column(c).to_pylist() for c in range(4)], octets(b.column(4)), strict=True):
+                s = np.frombuffer(s, "<u8")
+                if at != (hub, salt):
+                    at, hubs = (hub, salt), []
+                if not role:
+                    hubs.append(s)
+                elif any(t.linked(len(np.intersect1d(s, h, assume_unique=True)), len(s) + len(h)) for h in hubs):
+                    links.append((hub, i))
+            if links:
+                yield _pairs(*np.array(links, np.int64).T)
+
+    return stars
+
+
+def _hints(t: Threshold):
+    """From (sig, i, j, own, id, comp, point) in order of the first three to candidates that hold all candidates of a bucket together."""
+
+    def solve(key: tuple, rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        own, ids, comp = (longs(rows.column(c).combine_chunks()) for c in (3, 4, 5))
+        left, right = _sides(key, own)
+        if len(left) and len(right) and (comp != comp[0]).any():
+            a, b, _ = candidates(unpacked(rows.column(6).to_pylist()), comp, left, right, t)
+            over = Union(len(ids))
+            some = [k for k, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)) if over.join(x, y)]
+            if some:
+                yield _pairs(ids[a[some]], ids[b[some]])
+
+    return _groups(solve, 3)
+
+
+def _families(t: Threshold, count: bool):
+    """From (family, i, j, own, id, comp, copies, shingles) in order of the first three to links between blocks i and j of each family.
+
+    With count, also a row (id, null, n) of each text that has links there, to n rows.
+    """
+
+    def solve(key: tuple, rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        if count:  # rows that share identifier and text are one, with all their copies
+            seen = dict(zip(zip(rows.column(4).to_pylist(), rows.column(7).to_pylist(), strict=True), range(rows.num_rows), strict=True))
+            if len(seen) < rows.num_rows:
+                rows = rows.take(pa.array(sorted(seen.values()), pa.int64())).combine_chunks()
+        own, ids, comp, copies = (longs(rows.column(c).combine_chunks()) for c in (3, 4, 5, 6))
+        left, right = _sides(key, own)
+        if not len(left) or not len(right):
+            return
+        sets = [np.frombuffer(x, "<u8") for x in rows.column(7).to_pylist()]
+        points = np.stack([point(s) for s in sets])
+        if count:
+            links, counts = all_links(points, sets, copies, left, right, t)
+            some = np.flatnonzero(counts)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.nulls(len(some), pa.int64()), pa.array(counts[some])], ["a", "b", "n"])
+        else:
+            links = spanning_links(points, sets, comp, left, right, t)
+        if links:
+            yield _pairs(*ids[np.array(links).T])
+
+    return _groups(solve, 3)
+
+
+def _dealt(rows: DataFrame, group: str, shape: DataFrame) -> DataFrame:
+    """rows with i and j, the pair of blocks of their group that each goes to, and own, the one it belongs to.
+
+    shape: (group, main, blocks_main, blocks_rest) of each group. Blocks of the component `main` come first and aren't
+    paired with each other, if there are other blocks; what is not of it goes to the blocks after.
+    """
+    rows = rows.join(shape, group)
+    hashed = F.xxhash64("id")
+    inside = (F.col("comp") == F.col("main")) & (F.col("blocks_main") > 0)
+    own = F.when(inside, F.pmod(hashed, F.greatest("blocks_main", F.lit(1)))).otherwise(F.col("blocks_main") + F.pmod(hashed, F.greatest("blocks_rest", F.lit(1)))).cast("int")
+    others = F.sequence(F.when(inside, F.col("blocks_main")).otherwise(0), F.col("blocks_main") + F.col("blocks_rest") - 1)
+    out = rows.withColumn("own", own).withColumn("other", F.explode(others))
+    return out.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other", "main", "blocks_main", "blocks_rest")
+
+
+def _shape(rows: DataFrame, group: str, weight: str | None = None, every: bool = False) -> DataFrame:
+    """For _dealt(): blocks by the number of texts in each group and what they weigh. every: all blocks are paired."""
+    load = F.greatest(F.count(F.lit(1)) / BLOCK, F.sum(weight) / SHINGLES) if weight else F.count(F.lit(1)) / BLOCK
+    by_comp = rows.groupBy(group, "comp").agg(load.alias("load"))
+    of = by_comp.groupBy(group).agg(F.max_by("comp", F.struct("load", "comp")).alias("main"), F.max("load").alias("most"), F.sum("load").alias("load"))
+    # a group that fits one block needs no blocks of its largest component
+    main = F.when((F.col("load") > 1) & (F.col("most") >= 0.5) & F.lit(not every), F.ceil("most")).otherwise(0).cast("int")
+    rest = F.when(main > 0, F.ceil(F.round(F.col("load") - F.col("most"), 6))).otherwise(F.ceil("load")).cast("int")
+    return of.select(group, "main", main.alias("blocks_main"), rest.alias("blocks_rest")).where("blocks_rest > 0")
+
+
+def _known(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The texts of some ids. Up to a million ids are broadcast; more are joined by a shuffle."""
+    return texts.join(F.broadcast(wanted) if wanted.count() <= 1_000_000 else wanted, "id")
+
+
+def _hub_links(buckets: DataFrame, points: DataFrame, texts: DataFrame, k: int, t: Threshold) -> tuple[DataFrame, DataFrame]:
+    """(sig, hub) of each bucket, and the links (a, b) of hubs with members of their buckets."""
+    weight = buckets.groupBy("id").agg(F.sum("members").alias("weight"))
+    hub = buckets.join(weight, "id").groupBy("sig").agg(F.max_by("id", F.struct("weight", -F.col("id"))).alias("hub")).checkpoint()
+    pairs = buckets.join(hub, "sig").where("id <> hub").select("hub", "id").distinct()
+    held = pairs.join(points, "id").select("hub", "id", "point").join(points.select(F.col("id").alias("hub"), F.col("point").alias("own")), "hub")
+    near = held.select("hub", "id", "own", "point").mapInArrow(_bounded(t), "hub bigint, id bigint").distinct().checkpoint()
+    salts = near.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("salts"))
+    salted = near.join(salts, "hub").select("hub", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("role"), "id")
+    own = salts.select("hub", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"), F.col("hub").alias("id"))
+    wanted = near.select("id").union(near.select("hub")).distinct().checkpoint()
+    sets = _known(texts, wanted).select("id", "text").mapInArrow(_sets(k, ["id", "shingles"]), "id bigint, shingles binary")
+    dealt = salted.union(own).join(sets, "id").select("hub", "salt", "role", "id", "shingles")
+    links = dealt.repartition("hub", "salt").sortWithinPartitions("hub", "salt", "role", "id").mapInArrow(_stars(t), _LINKS)
+    return hub, links.select("a", "b").distinct().checkpoint()
 
 
 def classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", count: bool = False) -> DataFrame:
@@ -361,41 +519,57 @@ def classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col:
     rows = texts.mapInArrow(_emit(k, t), _ROWS).repartition("sig").sortWithinPartitions("kind", "sig", "ref", "id")
     rows = table(rows.mapInArrow(_match, _ROWS), "matches")
     whole = rows.where(f"kind = {_WHOLE}").select("id", F.col("ref").alias("rep"), "n")
-    buckets = rows.where(f"kind = {_KEY}").join(whole.select("id", "rep"), "id").select("sig", F.col("rep").alias("id"))
-    buckets = table(buckets.distinct(), "buckets")
-    low = buckets.groupBy("sig").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("members")).where("members > 1")
-    pairs = buckets.join(low, "sig").where("id <> a").select("a", F.col("id").alias("b")).distinct()
-    family = components(pairs).select(F.col("node").alias("id"), F.col("component").alias("family")).checkpoint()
-    blocks = family.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     same = rows.where(f"kind = {_SAME}").select("id", "ref", "n")
+    buckets = rows.where(f"kind = {_KEY}").join(whole.select("id", "rep"), "id").select("sig", F.col("rep").alias("id")).distinct()
+    members = buckets.groupBy("sig").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    buckets = table(buckets.join(members, "sig"), "buckets")
+    points = rows.where(f"kind = {_WHOLE} and id = ref").select("id", "n", "point").distinct()
     if count:
         again = same.where("n > 0").groupBy(F.col("ref").alias("id")).agg(F.count(F.lit(1)).alias("more"))
         # of rows that share an identifier, one takes the copies that other rows name by it
         whole_ids = whole.groupBy("id", "rep").agg(F.count(F.lit(1)).alias("own"))
         copies = whole_ids.join(again, "id", "left").groupBy("rep").agg(F.sum(F.col("own") + F.coalesce("more", F.lit(0))).alias("copies")).checkpoint()
-        family = family.join(copies.withColumnRenamed("rep", "id"), "id")
+        left = buckets.select("sig", "id", F.col("id").alias("comp"))
+    else:
+        hub, links = _hub_links(buckets, points.select("id", "point"), texts, k, t)
+        comp = components(links)
+        others = buckets.join(hub, "sig").where("id <> hub").join(comp.withColumnRenamed("node", "id"), "id", "left")
+        left = others.select("sig", "id", F.coalesce("component", "id").alias("comp")).checkpoint()
+        apart = left.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("sig")
+        left = left.join(apart, "sig")
+    held = left.join(points.select("id", "point"), "id")
+    dealt = _dealt(held, "sig", _shape(left, "sig", every=count)).select("sig", "i", "j", "own", "id", "comp", "point")
+    hints = dealt.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j").mapInArrow(_hints(t), _LINKS)
+    family = components(hints.select("a", "b")).select(F.col("node").alias("id"), F.col("component").alias("family"))
+    if count:
+        family = family.join(copies.withColumnRenamed("rep", "id"), "id").withColumn("comp", F.col("id"))
     else:
-        family = family.withColumn("copies", F.lit(1).cast("bigint"))
-    wanted = family.join(blocks, "family")
-    # up to a million ids are broadcast; more are joined by a shuffle
-    known = texts.join(F.broadcast(wanted) if family.count() <= 1_000_000 else wanted, "id")
-    sets = known.select("id", "text", "family", "blocks", "copies").mapInArrow(_sets(k), "id bigint, point binary, shingles binary, family bigint, blocks int, copies bigint")
-    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    dealt = sets.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "point", "shingles", "copies")
-    links = dealt.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j").mapInArrow(_families(t, count), "a bigint, b bigint, n bigint").checkpoint()
-    comp = components(links.where("b is not null").select("a", "b").distinct().checkpoint())
-    comp = comp.withColumnRenamed("node", "rep")
-    first = whole.join(comp, "rep", "left")
+        family = family.join(comp.withColumnRenamed("node", "id"), "id", "left").select("id", "family", F.lit(1).cast("bigint").alias("copies"), F.coalesce("component", "id").alias("comp"))
+    family = family.join(points.groupBy("id").agg(F.sum("n").alias("n")), "id").checkpoint()
+    names = ["id", "shingles", "family", "comp", "copies"]
+    sets = _known(texts, family.drop("n")).select("id", "text", "family", "comp", "copies").mapInArrow(_sets(k, names), "id bigint, shingles binary, family bigint, comp bigint, copies bigint")
+    dealt = _dealt(sets, "family", _shape(family, "family", "n", every=count)).select("family", "i", "j", "own", "id", "comp", "copies", "shingles")
+    more = dealt.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j").mapInArrow(_families(t, count), _LINKS).checkpoint()
+    found = more.where("b is not null").select("a", "b").distinct()
+    if count:
+        comp = components(found)
+    elif not found.isEmpty():
+        comp = components(links.union(found))
+    first = whole.join(comp.withColumnRenamed("node", "rep"), "rep", "left")
+    extra = []
     if count:
-        found = links.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("found"))
-        first = first.join(copies, "rep").join(found, "rep", "left").withColumn("n_links", F.coalesce("found", F.lit(0)) + F.col("copies") - 1)
-    more = ["n_links"] if count else []
-    first = first.select("id", "n", F.coalesce("component", "rep").alias("component_id"), *more).checkpoint()
-    again = same.join(first.select(F.col("id").alias("ref"), "component_id", *more).distinct(), "ref", "left")
+        extra = ["n_links"]
+        seen = more.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("found"))
+        first = first.join(copies, "rep").join(seen, "rep", "left").withColumn("n_links", F.coalesce("found", F.lit(0)) + F.col("copies") - 1)
+    first = first.select("id", "n", F.coalesce("component", "rep").alias("component_id"), *extra).checkpoint()
+    again = same.join(first.select(F.col("id").alias("ref"), "component_id", *extra).distinct(), "ref", "left")
     links_again = [F.when(F.col("n") > 0, F.coalesce("n_links", F.lit(0))).otherwise(0).alias("n_links")] if count else []
     again = again.select("id", "n", F.coalesce("component_id", "ref").alias("component_id"), *links_again)
-    return first.union(again).select("id", F.col("n").alias("n_shingles"), "component_id", *more)
+    out = first.union(again)
+    # a text that came after an equal one of its task may have the smaller identifier
+    low = again.where("id < component_id").groupBy("component_id").agg(F.min("id").alias("low"))
+    out = out.join(low, "component_id", "left").withColumn("component_id", F.coalesce("low", "component_id"))
+    return out.select("id", F.col("n").alias("n_shingles"), "component_id", *extra)
 
 
 def dedup(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

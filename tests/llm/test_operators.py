@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 
 from recordflow.llm import decontam, exact_dedup, langid, line_dedup, ngram_join, packing, quality, sharding, suffix_dedup, toxicity
+from recordflow.llm.components import components
 from recordflow.llm.queries import tokenizer_path
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, score string, kept string, `__head` string"
@@ -143,7 +144,47 @@ def test_points_of_long_texts():
     points = np.stack([ngram_join.point(x) for x in sets])
     assert points.sum(1).tolist() == [70_000, 69_000]
     both = np.arange(2)
-    assert ngram_join.spanning_links(points, sets, both, both, ngram_join.Threshold(90, 100)) == [(0, 1)]
+    assert ngram_join.spanning_links(points, sets, both, both, both, ngram_join.Threshold(90, 100)) == [(0, 1)]
+    few = np.arange(3 * ngram_join.GROUPS, dtype=np.uint64)
+    again = ngram_join.unpacked([ngram_join.packed(ngram_join.point(x)) for x in (sets[0], few)])
+    assert again.sum(1).tolist() == [70_000, len(few)] and len(ngram_join.packed(ngram_join.point(few))) == ngram_join.GROUPS
+
+
+def test_components_that_do_not_converge_raise(spark):
+    chain = spark.range(300).selectExpr("id as a", "id + 1 as b")
+    with pytest.raises(RuntimeError, match="rounds"):
+        components(chain, rounds=2)
+    odd = spark.createDataFrame([(1, 2), (2, 1), (1, 1), (5, 5), (None, 3), (4, None)], "a bigint, b bigint")
+    assert sorted(map(tuple, components(odd).collect())) == [(1, 1), (2, 1)]
+
+
+@pytest.mark.parametrize("block", [1000, 5])
+@pytest.mark.parametrize("k,num", [(3, 90), (5, 80)])
+def test_ngram_join_of_a_borderline_group(spark, monkeypatch, block, k, num):
+    """Copies of one text with many odd words, its base among them or not, and a passage that other texts share."""
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    rng = random.Random(12)
+    texts = []
+    for g in range(4):
+        base = [f"g{g}w{i}" for i in range(120)]
+        texts += [" ".join(base)] * (g % 2)
+        for _ in range(25):
+            w = list(base)
+            for _ in range(rng.randint(0, 4)):
+                w[rng.randrange(len(w))] = f"odd{rng.randint(0, 9)}"
+            texts.append(" ".join(w))
+    passage = " ".join(f"p{i}" for i in range(40))
+    texts += [f"{_words(rng, 20)} {passage} {_words(rng, 25)}" for _ in range(30)]
+    sets = [{tuple(w[i : i + k]) for i in range(len(w) - k + 1)} for w in map(str.split, texts)]
+    comp = list(range(len(sets)))
+    for a in range(len(sets)):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= num * len(sets[a] | sets[b]):
+                low, high = sorted((comp[a], comp[b]))
+                comp = [low if c == high else c for c in comp]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    got = {r.id: r.component_id for r in ngram_join.classes(df, k, num, 100).collect()}
+    assert got == dict(enumerate(comp)) and 30 < len(set(comp)) < len(texts) - 20
 
 
 def test_suffix_dedup(docs, texts, nothing):
