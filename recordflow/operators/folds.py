@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordered import fresh, numbered
+
 
 def count(df: DataFrame, *keys: str, name: str = "n") -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
@@ -29,16 +31,17 @@ def last(df: DataFrame, keys: list[str], order: list[str], **values: str) -> Dat
 
 def joined(df: DataFrame, keys: list[str], order: list[str], column: str, separator: str, name: str = "joined") -> DataFrame:
     """Of each key, the texts put together in order."""
-    rows = F.array_sort(F.collect_list(F.struct(*order, F.col(column).alias("__v"))))
-    return df.groupBy(*keys).agg(F.array_join(F.transform(rows, lambda x: x["__v"].cast("string")), separator).alias(name))
+    (v,) = fresh(df, "v")
+    rows = F.array_sort(F.collect_list(F.struct(*order, F.col(column).alias(v))))
+    return df.groupBy(*keys).agg(F.array_join(F.transform(rows, lambda x: x[v].cast("string")), separator).alias(name))
 
 
 def distinct_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The first row of each key in order. Pre-aggregated, so a key with very many rows isn't sorted in one task."""
     rest = [c for c in df.columns if c not in keys]
-    row = F.struct(*rest)
-    got = df.groupBy(*keys).agg(F.min_by(row, F.struct(*order)).alias("__row"))
-    return got.select(*[F.col(c) if c in keys else F.col("__row")[c].alias(c) for c in df.columns])
+    (first_row,) = fresh(df, "row")
+    got = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias(first_row))
+    return got.select(*[F.col(c) if c in keys else F.col(first_row)[c].alias(c) for c in df.columns])
 
 
 def composite(*columns: str, separator: str = "\x1c") -> Column:
@@ -48,8 +51,9 @@ def composite(*columns: str, separator: str = "\x1c") -> Column:
 
 def nested(df: DataFrame, outer: str, inner: str, value: Column, name: str = "m") -> DataFrame:
     """Of each outer key a map from inner keys to an aggregate."""
-    flat = df.groupBy(outer, inner).agg(value.alias("__v"))
-    return flat.groupBy(outer).agg(F.map_from_entries(F.collect_list(F.struct(F.col(inner).cast("string"), "__v"))).alias(name))
+    (v,) = fresh(df, "v")
+    flat = df.groupBy(outer, inner).agg(value.alias(v))
+    return flat.groupBy(outer).agg(F.map_from_entries(F.collect_list(F.struct(F.col(inner).cast("string"), v))).alias(name))
 
 
 def top(df: DataFrame, k: int, *order: Column) -> DataFrame:
@@ -61,6 +65,6 @@ def tail(df: DataFrame, k: int, order: list[str]) -> DataFrame:
     return df.orderBy(*[F.desc(c) for c in order]).limit(k).orderBy(*order)
 
 
-def rank_values(df: DataFrame, by: list[str], order: list, name: str = "at") -> DataFrame:
+def rank_values(df: DataFrame, by: list[str], order: list[str], name: str = "at") -> DataFrame:
     """df with each row's place from 1 among its key's, as a sort into a container gives."""
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+    return numbered(df, order, name, by)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import clock, codec, coerce, formatting, numeric
@@ -111,9 +111,9 @@ def global_fold(t):
     return folds.fold(t("lineitem"), [], n=F.count(F.lit(1)), revenue=F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 0), last_ship=F.max("l_shipdate"))
 
 
-@query("select l_suppkey, string_agg(cast(l_linenumber as varchar), '-' order by l_orderkey, l_linenumber, l_partkey) as joined from lineitem where l_quantity > 48 group by all")
+@query("select l_suppkey, string_agg(cast(l_linenumber as varchar), '-' order by l_orderkey, l_linenumber, l_partkey) as joined from lineitem group by all")
 def keyed_concat(t):
-    return folds.joined(t("lineitem").where("l_quantity > 48"), ["l_suppkey"], ["l_orderkey", "l_linenumber", "l_partkey"], "l_linenumber", "-")
+    return folds.joined(t("lineitem"), ["l_suppkey"], ["l_orderkey", "l_linenumber", "l_partkey"], "l_linenumber", "-")
 
 
 @query("select o_custkey, o_orderkey, o_orderstatus from (select *, row_number() over (partition by o_custkey order by o_orderkey) as r from orders) where r = 1")
@@ -160,9 +160,10 @@ def semi_in(t):
     return lookups.semi(t("customer").select("c_custkey", "c_name"), o, ["c_custkey"])
 
 
-@query("select c_custkey, c_name from customer where c_custkey not in (select o_custkey from orders)")
+@query("select c_custkey, c_name from customer where c_custkey not in (select o_custkey from orders where o_totalprice > 250000)")
 def anti_in(t):
-    return lookups.anti(t("customer").select("c_custkey", "c_name"), t("orders").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
+    o = t("orders").where("o_totalprice > 250000").select(F.col("o_custkey").alias("c_custkey"))
+    return lookups.anti(t("customer").select("c_custkey", "c_name"), o, ["c_custkey"])
 
 
 @query("select s_suppkey, n_nationkey from supplier join nation on s_nationkey < n_nationkey and s_acctbal > n_nationkey * 300")
@@ -245,9 +246,10 @@ def union_distinct(t):
     return lookups.union_distinct(t("customer").select(F.col("c_nationkey").alias("nation")), t("supplier").select(F.col("s_nationkey").alias("nation")))
 
 
-@query("select c_custkey, c_nationkey as nation from customer where c_nationkey in (select s_nationkey from supplier)")
+@query("select c_nationkey as nation from customer where c_nationkey in (select s_nationkey from supplier where s_acctbal > 5000)")
 def intersect_in(t):
-    return lookups.semi(t("customer").select("c_custkey", F.col("c_nationkey").alias("nation")), t("supplier").select(F.col("s_nationkey").alias("nation")), ["nation"])
+    s = t("supplier").where("s_acctbal > 5000").select(F.col("s_nationkey").alias("nation"))
+    return lookups.intersect_keeping(s, t("customer").select(F.col("c_nationkey").alias("nation")))
 
 
 @query("select c_nationkey as nation from customer where c_nationkey not in (select s_nationkey from supplier where s_acctbal > 5000)")
@@ -438,8 +440,7 @@ def edit_join_pairs(t):
     return E.edit(_lines(t), r"N;s/\n/+/", by=["doc_id"]).select("doc_id", "nr", F.md5("line").alias("line"))
 
 
-@query(_LINES + """, r as (select *, max(case when regexp_matches(line, '^[A-M]') then nr end) over (partition by doc_id order by nr) as a from l)
- select doc_id, cast(nr as bigint) as nr, md5(line) as line from l where nr % 4 in (2, 3)""")
+@query(_LINES + """ select doc_id, cast(nr as bigint) as nr, md5(line) as line from l where nr % 4 in (2, 3)""")
 def edit_range(t):
     return E.edit(_lines(t), "2~4,+1!d", by=["doc_id"]).select("doc_id", "nr", F.md5("line").alias("line"))
 
@@ -455,10 +456,10 @@ def cut_chars(t):
     return t("part").select("p_partkey", C.cut(F.col("p_name"), "c2-4,c1").alias("part"))
 
 
-@query("select p_partkey, string_split(p_type, ' ')[3] || '-' || string_split(p_type, ' ')[2] || '-' || string_split(p_type, ' ')[1] as part from part where len(string_split(p_type, ' ')) = 3")
+@query("select page_id, string_split(url, '/')[4] || '-' || string_split(url, '/')[3] || '-' || string_split(url, '/')[2] as part from pages where len(string_split(url, '/')) > 3")
 def cut_reversed(t):
-    p = t("part").where(F.size(F.split("p_type", " ")) == 3)
-    return p.select("p_partkey", C.cut(F.col("p_type"), "d -,f3-1").alias("part"))
+    p = t("pages").where(F.size(F.split("url", "/")) > 3)
+    return p.select("page_id", C.cut(F.col("url"), "d/-,f4-2").alias("part"))
 
 
 @query("select l_orderkey, round(sum(l_extendedprice * (1 - l_discount)), 2) as revenue, any_value(o_orderdate) as o_orderdate from customer join orders on c_custkey = o_custkey join lineitem on l_orderkey = o_orderkey where c_mktsegment = 'BUILDING' group by l_orderkey order by revenue desc, l_orderkey limit 10")
@@ -468,10 +469,13 @@ def join_aggregate_top(t):
     return j.groupBy("l_orderkey").agg(F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), F.first("o_orderdate").alias("o_orderdate")).orderBy(F.desc("revenue"), "l_orderkey").limit(10)
 
 
-@query("select o_orderkey, rank() over (partition by o_orderpriority order by o_totalprice desc) as r, dense_rank() over (partition by o_orderpriority order by o_orderstatus) as d, ntile(4) over (partition by o_orderpriority order by o_orderkey) as q from orders")
+@query("select o_orderkey, rank() over (partition by o_orderpriority order by o_totalprice desc) as r, round(percent_rank() over (partition by o_orderpriority order by o_totalprice desc), 9) as p, dense_rank() over (partition by o_orderpriority order by o_orderstatus) as d, ntile(4) over (partition by o_orderpriority order by o_orderkey) as q from orders")
 def ranks(t):
-    w = Window.partitionBy("o_orderpriority")
-    return t("orders").select("o_orderkey", F.rank().over(w.orderBy(F.desc("o_totalprice"))).alias("r"), F.dense_rank().over(w.orderBy("o_orderstatus")).alias("d"), F.ntile(4).over(w.orderBy("o_orderkey")).alias("q"))
+    o = t("orders").select("o_orderkey", "o_orderpriority", "o_orderstatus", (-F.col("o_totalprice")).alias("down"))
+    o = ordered.ranked(o, ["down"], ["o_orderpriority"], rank="r", share="p")
+    o = ordered.ranked(o, ["o_orderstatus"], ["o_orderpriority"], dense="d")
+    o = ordered.ranked(o, ["o_orderkey"], ["o_orderpriority"], tiles=("q", 4))
+    return o.select("o_orderkey", "r", F.round("p", 9).alias("p"), "d", "q")
 
 
 def _records(df: DataFrame, nr: str, *columns: str) -> DataFrame:

@@ -6,6 +6,7 @@ import sqlite3
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from recordflow.functions import clock, codec, coerce, formatting, numeric, patterns
@@ -143,6 +144,112 @@ def test_stores(spark, tmp_path):
     assert sorted(r.value for r in spark.read.text(str(tmp_path / "out")).collect()) == ["x-", "y-2"]
 
 
+@pytest.fixture(scope="module")
+def many(spark):
+    """100,000 rows in no order, with long and short keys and columns that the ordered operators might have named so themselves."""
+    rng = random.Random(4)
+    rows = [(i, rng.choice("aaaaaaab") if i % 9 else f"k{i % 700}", rng.random(), rng.random() < 0.01, "x", 1) for i in range(100_000)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "id int, k string, v double, hit boolean, __range string, __start_v0 int").repartition(6)
+    return df, sorted(rows)
+
+
+@pytest.fixture(params=[True, False])
+def exchanges(spark, request):
+    """With and without the reuse of exchanges, over eight ranges."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.exchange.reuse", str(request.param).lower())
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    yield
+    spark.conf.set("spark.sql.exchange.reuse", "true")
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_ordered_over_many_rows(spark, many, exchanges):
+    df, rows = many
+    got = ordered.numbered(ordered.numbered(df, ["id"], "fnr", ["k"]), ["id"])
+    assert got.columns == [*df.columns, "fnr", "nr"]
+    seen: dict = {}
+    want = {}
+    for i, r in enumerate(rows, 1):
+        seen[r[1]] = seen.get(r[1], 0) + 1
+        want[r[0]] = (i, seen[r[1]])
+    assert {r.id: (r.nr, r.fnr) for r in got.collect()} == want
+
+    before: dict = {}
+    lags, high, sums = {}, {}, {}
+    total = 0
+    for i, k, v, hit, *_ in rows:
+        lags[i] = before.get(k)
+        before[k] = v
+        high[k] = max(high.get(k, 0), v)
+        sums[i] = (total, high[k])
+        total += i
+    assert {r.id: r.prev for r in ordered.lag(df, "v", ["id"], "prev", ["k"]).collect()} == lags
+    below = ordered.running(df, ["id"], {"below": ("sum", F.col("id"))}, inclusive=False)
+    both = ordered.running(below, ["id"], {"high": ("max", F.col("v"))}, ["k"])
+    assert {r.id: (r.below, r.high) for r in both.collect()} == sums
+
+    opens, last, session = {}, {}, {}
+    for i, k, *_ in rows:
+        opens[k] = opens.get(k, 0) + (k not in last or i - last[k] > 3)
+        last[k] = i
+        session[i] = opens[k]
+    assert {r.id: r.session for r in ordered.sessions(df, F.col("id"), 3, ["id"], ["k"]).collect()} == session
+
+
+def test_range_pattern_over_many_rows(spark, many, exchanges):
+    df, rows = many
+    for by in (None, ["k"]):
+        on: dict = {}
+        want = []
+        for i, k, v, hit, *_ in rows:
+            key = k if by else None
+            if on.get(key) or hit:
+                want.append(i)
+                on[key] = not v < 0.02
+        got = ordered.range_pattern(df, F.col("hit"), F.col("v") < 0.02, ["id"], by)
+        assert sorted(r.id for r in got.collect()) == want and got.columns == df.columns
+
+
+def test_ranked_and_moving_over_many_rows(spark, many, exchanges):
+    df, rows = many
+    df = df.withColumn("place", (F.col("v") * 50).cast("int"))
+    by_key: dict = {}
+    for i, k, v, *_ in rows:
+        by_key.setdefault(k, []).append((int(v * 50), i, v))
+    want, means = {}, {}
+    for some in by_key.values():
+        places = sorted(p for p, *_ in some)
+        steps = {p: n for n, p in enumerate(dict.fromkeys(places), 1)}
+        first = {}
+        for n, p in enumerate(places, 1):
+            first.setdefault(p, n)
+        for p, i, _ in some:
+            want[i] = (first[p], steps[p], round((first[p] - 1) / (len(some) - 1), 9) if len(some) > 1 else 0.0)
+        for n, (_, i, _) in enumerate(some):
+            part = [v for _, _, v in some[max(0, n - 4) : n + 1]]
+            means[i] = sum(part) / len(part)
+    got = ordered.ranked(df, ["place"], ["k"], rank="r", dense="d", share="s")
+    assert {r.id: (r.r, r.d, round(r.s, 9)) for r in got.collect()} == want
+    got = ordered.moving(df, "v", ["id"], 5, "m", ["k"]).collect()
+    assert all(abs(r.m - means[r.id]) < 1e-9 for r in got) and len(got) == len(rows)
+    w = Window.partitionBy("k").orderBy("id")
+    got = ordered.ranked(df, ["id"], ["k"], tiles=("t", 7)).withColumn("u", F.ntile(7).over(w))
+    assert got.where("t <> u").count() == 0
+
+
+def test_ordered_keys_of_other_kinds(spark):
+    rows = [(None, "2024-01-01 00:00:00", 1), ("b", None, 2), ("b", "2023-06-01 00:00:00.5", 3), (None, "2022-01-01 00:00:00", 4), ("a", "2022-01-01 00:00:00", 5)]
+    df = spark.createDataFrame(rows, "k string, at string, id int")
+    for kind in ("timestamp", "timestamp_ntz", "date", "string"):
+        timed = df.withColumn("at", F.col("at").cast(kind))
+        got = ordered.running(timed, ["at", "id"], {"n": ("count", F.lit(1)), "low": ("min", F.col("at"))}, ["k"], ranges=3).collect()
+        assert {r.id: r.n for r in got} == {4: 1, 1: 2, 2: 1, 3: 2, 5: 1}
+        nothing = ordered.numbered(timed.where("id > 9"), ["at"], by=["k"])
+        assert nothing.count() == 0 and ordered.range_pattern(timed.limit(0), F.lit(True), F.lit(True), ["id"]).count() == 0
+
+
 def test_range_pattern_against_a_loop(spark):
     rng = random.Random(2)
     rows = [(i, rng.random() < 0.2, rng.random() < 0.3) for i in range(300)]
