@@ -15,6 +15,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _FLOAT = r"^(?:[0-9]+\.?[0-9]*(?:[eE][+-]?[0-9]+)?|\.[0-9]+(?:[eE][+-]?[0-9]+)?)"
+_SIMPLE = r"^-?(?:0|[1-9][0-9]{0,14})(?:\.[0-9]{1,15})?\z"
 _DECIMAL = r"^[0-9]*\.|^[0-9]+[eE][+-]?[0-9]"
 
 
@@ -34,7 +35,8 @@ def to_number(text: Column) -> Column:
     )
     plain = F.regexp_extract(body, _FLOAT, 0)
     plain = F.when(plain == "", F.lit(0.0)).otherwise(plain.cast("double"))
-    return sign * F.coalesce(value, plain)
+    # what is no more than a decimal without leading zeros needs none of this
+    return F.when(text.cast("string").rlike(_SIMPLE), text.try_cast("double")).otherwise(sign * F.coalesce(value, plain))
 
 
 def to_int(text: Column) -> Column:

@@ -16,6 +16,8 @@ def expression(e) -> str:
         return repr(e[1])
     if k == "str":
         return _quoted(e[1])
+    if k == "bytes":
+        return '@b"' + "".join(f"\\x{x:02x}" for x in e[1]) + '"'
     if k == "re":
         return "/" + e[1].replace("/", "\\/") + "/"
     if k == "name":
@@ -48,8 +50,8 @@ def expression(e) -> str:
     if k == "group":
         return f"({many(e[1])})"
     if k == "getline":
-        target = f" {expression(e[2])}" if e[2] else ""
-        return f"(getline{target}" + (f" < {expression(e[3])})" if e[1] == "<" else ")") if e[1] in ("", "<") else f"({expression(e[3])} {e[1]} getline{target})"
+        target = ("getbline" if len(e) > 4 and e[4] else "getline") + (f" {expression(e[2])}" if e[2] else "")
+        return f"({target}" + (f" < {expression(e[3])})" if e[1] == "<" else ")") if e[1] in ("", "<") else f"({expression(e[3])} {e[1]} {target})"
     if k == "map":
         return "@{" + ", ".join(f"{expression(a)}: {expression(b)}" for a, b in e[1]) + "}"
     if k == "array":
@@ -96,6 +98,7 @@ def statement(s, depth: int) -> str:
 
 def program(p: Program) -> str:
     out = [f"@pragma {k} {v}" for k, v in p.pragmas.items()]
+    out += [f"@global {n}{'' if v is None else f' = {expression(v)}'}" for n, v in p.globals.items()]
     out += [f"function {n}({_params(params)}) {statement(body, 0)}" for n, (params, body) in p.functions.items()]
     out += [f"BEGIN {statement(b, 0)}" for b in p.begin]
     for first, second, action in p.rules:

@@ -12,14 +12,18 @@ place among the record's lines; END's lines have nr null in the plans and the la
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import coerce, formatting, patterns
 from ..functions import text as T
 from ..operators import fields
+from ..operators.domains import in_order
+from ..operators.ordered import fresh
 from .grammar import Program, parse
 from .sequential import Interpreter
 
@@ -39,10 +43,11 @@ def number_column(c: Column, kind: str) -> Column:
 class Columns:
     """Expressions as (column, kind); kinds: str, int, num (a double), bool."""
 
-    def __init__(self, variables: dict | None = None, fs: str = " "):
+    def __init__(self, variables: dict | None = None, fs: str = " ", held: str | None = None):
+        """held: a column that has the record's fields."""
         self.record, self.nr = F.col("record"), F.col("nr")
         self.variables, self.fs = variables or {}, fs
-        self.fields = fields.split(self.record, fs)
+        self.fields = F.col(held) if held else fields.split(self.record, fs)
 
     def text(self, e) -> Column:
         c, kind = self.ev(e)
@@ -165,6 +170,7 @@ class Plan:
     program: Program
     variables: dict
     fs: str
+    outputs: tuple[str, ...] = ()
 
     def run(self, records: DataFrame, by: list[str] | None = None, files: dict[str, str] | None = None) -> DataFrame:
         if self.kind == "rules":
@@ -174,10 +180,11 @@ class Plan:
         return _sequential(self, records, by or [], files or {})
 
 
-def compile_program(text: str, variables: dict | None = None, fs: str = " ") -> Plan:
-    p = parse(text)
+def compile_program(text: str, variables: dict | None = None, fs: str = " ", includes: dict[str, str] | None = None, outputs: tuple[str, ...] = ()) -> Plan:
+    p = parse(text, includes)
     variables = variables or {}
-    settings = None if p.functions or p.pragmas else _settings(p, variables, fs)
+    plain = not (p.functions or p.globals or outputs) and set(p.pragmas) <= {"implicit"}
+    settings = _settings(p, variables, fs) if plain else None
     for kind, fits in (("rules", _is_rules), ("fold", _is_fold)):
         if settings is not None:
             try:
@@ -185,7 +192,7 @@ def compile_program(text: str, variables: dict | None = None, fs: str = " ") ->
                     return Plan(kind, p, *settings)
             except NotPure:
                 pass
-    return Plan("sequential", p, variables, fs)
+    return Plan("sequential", p, variables, fs, outputs)
 
 
 
@@ -230,8 +237,14 @@ def _compiles(p: Program, variables: dict, fs: str) -> bool:
     return True
 
 
+def _split(plan: Plan, records: DataFrame) -> tuple[DataFrame, Columns]:
+    """The records cut into fields once."""
+    (held,) = fresh(records, "fields")
+    return records.withColumn(held, fields.split(F.col("record"), plan.fs)), Columns(plan.variables, plan.fs, held)
+
+
 def _rules(plan: Plan, records: DataFrame) -> DataFrame:
-    e = Columns(plan.variables, plan.fs)
+    records, e = _split(plan, records)
     ofs, alive, out = plan.variables["OFS"], F.lit(True), []
     empty = F.lit(None).cast("string")
     for first, _, action in plan.program.rules:
@@ -328,7 +341,7 @@ def _is_fold(p: Program, variables: dict, fs: str) -> bool:
 
 def _fold(plan: Plan, records: DataFrame) -> DataFrame:
     updates, loop, prints = _shape(plan.program)
-    e = Columns(plan.variables, plan.fs)
+    records, e = _split(plan, records)
     sums: dict[str, Column] = {}
     fired = F.lit(False)
     in_map = F.lit(False)
@@ -358,26 +371,33 @@ def _fold(plan: Plan, records: DataFrame) -> DataFrame:
 
 
 def _sequential(plan: Plan, records: DataFrame, by: list[str], files: dict[str, str]) -> DataFrame:
-    kinds = {f.name: f.dataType.simpleString() for f in records.schema.fields}
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in by), "nr bigint", "at int", "dest string", "line string"])
-    program, variables, fs = plan.program, plan.variables, plan.fs
+    program, variables, fs, outputs = plan.program, plan.variables, plan.fs, plan.outputs
     has = records.columns
-
-    def run(group):
-        import pandas as pd
-
-        group = group.sort_values("nr")
-        names = group["file"] if "file" in has else [""] * len(group)
-        numbers = group["fnr"] if "fnr" in has else group["nr"]
-        rows, places, ors = [], {}, "\n"
-        for nr, dest, text in Interpreter(program, variables, files, fs).run(zip(names, numbers, group["record"], strict=True)):
-            at = places[nr] = places.get(nr, -1) + 1
-            rows.append((*(group[c].iat[0] for c in by), nr, at, dest, text.removesuffix(ors)))
-        return pd.DataFrame(rows, columns=[*by, "nr", "at", "dest", "line"])
-
-    keep = [*by, *[c for c in ("file", "fnr", "nr", "record") if c in has and c not in by]]
-    return records.select(*keep).groupBy(*by).applyInPandas(run, schema)
-
-
-def run_program(text: str, records: DataFrame, by: list[str] | None = None, variables: dict | None = None, fs: str = " ", files: dict[str, str] | None = None) -> DataFrame:
-    return compile_program(text, variables, fs).run(records, by, files)
+    columns = ["nr", "record", *[c for c in ("file", "fnr") if c in has and c not in by]]
+    file_at, fnr_at = (columns.index(c) if c in columns else None for c in ("file", "fnr"))
+    by_file = by.index("file") if "file" in by else None
+
+    def run(rows: Iterator[tuple]) -> Iterator[tuple]:
+        given = ((r[file_at] if file_at is not None else "", r[fnr_at] if fnr_at is not None else r[0], r[1]) for r in rows)
+        last = at = None
+        for nr, dest, text in Interpreter(program, variables, files, fs, outputs=outputs).run(given):
+            at, last = (at + 1 if nr == last else 0), nr
+            yield nr, at, dest, text.removesuffix("\n")
+
+    out = [("nr", "long", pa.int64()), ("at", "integer", pa.int32()), ("dest", "string", pa.string()), ("line", "string", pa.string())]
+    if by_file is not None:  # the file is a column of the domain too: a copy tells its name
+        (name,) = fresh(records, "file")
+        records = records.withColumn(name, F.col("file"))
+        columns, file_at = [*columns, name], len(columns)
+    return in_order(records.select(*by, *columns), by, ["nr"], run, out)
+
+
+def run_program(text: str, records: DataFrame, by: list[str] | None = None, variables: dict | None = None, fs: str = " ", files: dict[str, str] | None = None, includes: dict[str, str] | None = None, outputs: tuple[str, ...] = ()) -> DataFrame:
+    """files: texts for getline; includes: texts for @include; outputs: names of the console outputs, which the destination column gets."""
+    return compile_program(text, variables, fs, includes, outputs).run(records, by, files)
+
+
+def execute(text: str, records: Iterable[str] = (), variables: dict | None = None, fs: str = " ", files: dict[str, str] | None = None, includes: dict[str, str] | None = None) -> str:
+    """What a program prints to the console, run here and now over a few records or none: for programs that only compute."""
+    rows = (("", i, r) for i, r in enumerate(records, 1))
+    return "".join(x for _, dest, x in Interpreter(parse(text, includes), variables, files, fs).run(rows) if dest is None)

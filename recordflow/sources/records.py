@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import patterns
+from ..operators.ordered import fresh
 
 
 @dataclass
@@ -40,36 +41,53 @@ def operands(args: list[str]) -> Operands:
     return out
 
 
-def _numbered(df: DataFrame, order: list[str]) -> DataFrame:
-    """fnr by file, then nr by the files' counts (one row a file)."""
-    df = df.withColumn("fnr", F.row_number().over(Window.partitionBy("file_idx").orderBy(*order)))
-    counts = df.groupBy("file_idx").agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.orderBy("file_idx").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("file_idx", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
-    return df.join(F.broadcast(starts), "file_idx").withColumn("nr", F.col("__start") + F.col("fnr"))
+def _numbered(df: DataFrame, block: str, at: str) -> DataFrame:
+    """fnr and nr: blocks are counted, and each adds up the blocks before it (one row a block); rows are numbered in their block."""
+    n, start, first = fresh(df, "n", "start", "first")
+    counts = df.groupBy("file_idx", block).agg(F.count(F.lit(1)).alias(n))
+    before = Window.orderBy("file_idx", block).rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("file_idx", block, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(start))
+    starts = starts.withColumn(first, F.min(start).over(Window.partitionBy("file_idx")))
+    out = df.withColumn(n, F.row_number().over(Window.partitionBy("file_idx", block).orderBy(at))).join(starts, ["file_idx", block])
+    return out.withColumn("nr", F.col(start) + F.col(n)).withColumn("fnr", F.col("nr") - F.col(first))
+
+
+def _path(spark: SparkSession, file: str) -> str:
+    """The file's name as Spark's readers give it, but for slashes after the scheme."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(file)
+    return re.sub(r"^(\w+):/+", r"\1:/", path.getFileSystem(conf).makeQualified(path).toUri().toString())
 
 
 def read(spark: SparkSession, args: list[str], rs: str | None = None, encoding: str = "UTF-8", ignore_case: bool = False) -> DataFrame:
-    """(file_idx, file, fnr, nr, record) of the operands' files, with a column for each variable they set."""
+    """(file_idx, file, fnr, nr, record) of the operands' files, with a column for each variable they set.
+
+    All files are one read; a file that is named twice gives its records twice. A variable can't have the name of one of the
+    five columns.
+    """
     ops = operands(args)
     names = sorted({n for v in ops.variables for n in v})
-    parts = []
-    for i, (file, variables) in enumerate(zip(ops.files, ops.variables, strict=True)):
-        one = _file(spark, file, rs, encoding, ignore_case).withColumn("file_idx", F.lit(i)).withColumn("file", F.lit(file))
-        parts.append(one.withColumns({n: F.lit(variables.get(n)).cast("string") for n in names}))
-    df = parts[0]
-    for p in parts[1:]:
-        df = df.unionByName(p)
-    return _numbered(df, ["__block", "__at"]).select("file_idx", "file", "fnr", "nr", "record", *names)
-
-
-def _file(spark: SparkSession, file: str, rs: str | None, encoding: str, ignore_case: bool) -> DataFrame:
+    if clash := {n.lower() for n in names} & {"file_idx", "file", "fnr", "nr", "record"}:
+        raise ValueError(f"a column has the name of the variable {sorted(clash)}")
+    kinds = ", ".join(["__path string", "file_idx int", "file string", *[f"`{n}` string" for n in names]])
+    paths = [_path(spark, f) for f in ops.files]
+    table = spark.createDataFrame([(p, i, f, *[v.get(n) for n in names]) for i, (p, f, v) in enumerate(zip(paths, ops.files, ops.variables, strict=True))], kinds)
+    raw = _records(spark, sorted(set(ops.files)), rs, encoding, ignore_case)
+    df = raw.join(F.broadcast(table), raw["__path"] == table["__path"])  # one row an operand
+    block, at = fresh(table, "block", "at")
+    df = df.select("file_idx", "file", "record", *names, F.col("0block").alias(block), F.col("0at").alias(at))
+    return _numbered(df, block, at).select("file_idx", "file", "fnr", "nr", "record", *names)
+
+
+def _records(spark: SparkSession, files: list[str], rs: str | None, encoding: str, ignore_case: bool) -> DataFrame:
+    """(__path, 0block, 0at, record): the file, where the split begins and the place in it."""
+    plain = F.regexp_replace("p", r"^(\w+):/+", "$1:/").alias("__path")
     if rs is None or len(rs) == 1 and encoding == "UTF-8":
-        raw = spark.read.option("lineSep", rs or "\n").text(file)
+        raw = spark.read.option("lineSep", rs or "\n").text(files).select(F.col("_metadata.file_path").alias("p"), F.col("_metadata.file_block_start").alias("0block"), F.monotonically_increasing_id().alias("0at"), "value")
         record = F.col("value") if rs else F.regexp_replace("value", r"\r\z", "")
-        return raw.select(record.alias("record"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__at"))
-    whole = spark.read.format("binaryFile").load(file).select(F.decode("content", encoding).alias("text"))
-    return whole.select(F.posexplode(split(F.col("text"), rs, ignore_case)).alias("__at", "record"), F.lit(0).cast("bigint").alias("__block"))
+        return raw.select(plain, "0block", "0at", record.alias("record"))
+    whole = spark.read.format("binaryFile").load(files).select(F.col("path").alias("p"), F.decode("content", encoding).alias("text"))
+    return whole.select(plain, F.lit(0).cast("bigint").alias("0block"), F.posexplode(split(F.col("text"), rs, ignore_case)).alias("0at", "record"))
 
 
 def split(text: Column, rs: str | None, ignore_case: bool = False) -> Column:

@@ -120,6 +120,25 @@ def test_records(spark, tmp_path, rs, text, want):
     assert [r.nr for r in got] == [*range(1, 2 * len(want) + 1)] and {(r.file_idx, r.v) for r in got} == {(0, None), (1, "5")}
 
 
+def test_records_of_many_blocks(spark, tmp_path):
+    """A large file is numbered by its blocks, a file named twice comes twice, and names may hold blanks."""
+    lines = [f"line {i} " + "x" * (i % 50) for i in range(20_000)]
+    (tmp_path / "a large one").write_text("\n".join(lines))
+    (tmp_path / "b").write_text("only\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "60000")
+    try:
+        big, small = str(tmp_path / "a large one"), str(tmp_path / "b")
+        got = records.read(spark, [small, big, "__block=1", "x=2", small]).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    got.sort(key=lambda r: r.nr)
+    assert [r.record for r in got] == ["only", *lines, "only"] and [r.nr for r in got] == [*range(1, len(lines) + 3)]
+    assert [r.fnr for r in got] == [1, *range(1, len(lines) + 1), 1] and got[-1]["__block"] == "1" and got[0]["x"] is None
+    with pytest.raises(ValueError, match="nr"):
+        records.read(spark, ["nr=1", small])
+
+
 def test_quoted_records(spark, tmp_path):
     (tmp_path / "q").write_text('1,"a\nb",2\n3,"x ""y""", z \n')
     got = records.read_quoted(spark, [str(tmp_path / "q")], '?,"""').orderBy("fnr").collect()

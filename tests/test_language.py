@@ -3,7 +3,7 @@
 import pytest
 
 from recordflow.plans.grammar import parse
-from recordflow.plans.program import compile_program, run_program
+from recordflow.plans.program import compile_program, execute, run_program
 from recordflow.plans.sequential import Interpreter
 
 RECORDS = ("alpha beta 3", "gamma delta 4", "alpha x 5")
@@ -95,3 +95,66 @@ def test_printed_programs_do_the_same(text):
 
     once = printer.program(parse(text))
     assert run(once) == run(text) and printer.program(parse(once)) == once
+
+
+INCLUDES = {"lib": 'function twice(x) { return x * 2 }\n@global held = 5;\nBEGIN { print "begun" }', "both": '@include_once "lib"; @include_once "lib"; function more(x) { return twice(x) + held }', "self": '@include "self"'}
+
+PROGRAMS = [
+    ('@pragma entry main\n@include "lib";\nBEGIN { print "not run" }\nfunction main() { print twice(4), held }\n{ print "nor this" }', "8 5\n"),
+    ('@include "both"\nEND { print more(1), NR }', "begun\n7 3\n"),
+    ("@pragma entry main\nfunction main() { while ((getline line) > 0) n++; print n, $1 }", "3 alpha\n"),
+    ("@pragma implicit off\n@global total;\n{ @local x; x = $3; total += x } END { print total }", "12\n"),
+    ('BEGIN { print strftime("%Y-%m-%d", 86400), mktime("1970 1 2 0 0 0"), sys::mktime("2000 14 1 0 0 0"), mktime("1970") }', "1970-01-02 86400 980985600 -1\n"),
+    ('BEGIN { print str::tobase64("hi"), str::frombase64("aGk="), str::frombcharcode(72, 105), hawk::typename(str::tombs("é")), length(str::tombs("é")), str::frommbs(str::tombs("é")) }', "aGk= hi Hi mbs 2 é\n"),
+    ('BEGIN { x = @b"a\\xffb"; print hawk::typename(x), length(x), hawk::type(x), hawk::type(1), hawk::type(1.5), hawk::type(""), hawk::type(nothing) }', "mbs 3 7 4 5 6 0\n"),
+    ('BEGIN { print hawk::cmgr_exists("utf-8"), hawk::cmgr_exists("none"), hawk::hash("a") == hawk::hash("a"), hawk::function_exists("json::parse"), length(hawk::modlibdirs()) }', "1 0 1 1 0\n"),
+    ('BEGIN { v = json::parse("{\\"a\\": [1, {\\"b\\": null}], \\"c\\": -12.5, \\"d\\": true}"); print v["a"][1], v.c, hawk::typename(v.d); print json::stringify(v) }', '1 -12.5 bool\n{"a":[1,{"b":null}],"c":-12.5,"d":true}\n'),
+    ('BEGIN { print sed::str_to_str("s/a/b/", "banana", x), x; print sed::str_to_str("}", "a", x) }', "0 bbnana\n-1\n"),
+    ('BEGIN { print sys::unpack("<hq", sys::pack("<hq", 7, -2), a), a[1], a[2] }', "2 7 -2\n"),
+    ('{ n = (getbline b < "side"); print n, hawk::typename(b), length(b); exit }', "1 mbs 2\n"),
+    ('BEGIN { print setioattr("bytes", "codepage", "latin1"), setioattr("x", "codepage", "none"); getioattr("bytes", "codepage", cs); getline line < "bytes"; print cs, line, getioattr("y", "codepage", cs) }', "0 -1\nlatin1 é -1\n"),
+    ('BEGIN { print sys::getenv("HAWK_NO_SUCH_NAME") "." }', ".\n"),
+]
+
+
+@pytest.mark.parametrize("text,want", PROGRAMS)
+def test_modules_and_pragmas(text, want):
+    out = Interpreter(parse(text, INCLUDES), files={"side": "l1\nl2\n", "bytes": b"\xe9\n"}).run(("f", i, r) for i, r in enumerate(RECORDS, 1))
+    assert "".join(x for _, _, x in out) == want
+
+
+@pytest.mark.parametrize("text", ['@include "none"', '@include "self"', "@pragma entry none", "@pragma entry a\n@pragma entry b\nfunction a() {} function b() {}", "@pragma implicit off\n{ x = 1 }", "@pragma implicit maybe", "@include x"])
+def test_wrong_units(text):
+    with pytest.raises(SyntaxError):
+        parse(text, INCLUDES)
+
+
+@pytest.mark.parametrize("text", ['{ print | "sort" }', '{ print |& "sort" }'])
+def test_pipes_are_refused_aloud(spark, text):
+    with pytest.raises(PermissionError, match="sort"):
+        run(text)
+    df = spark.createDataFrame([(1, "a")], "nr bigint, record string")
+    with pytest.raises(Exception, match="PermissionError"):
+        run_program(text, df).collect()
+
+
+def test_console_outputs(spark):
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(RECORDS, 1)], "nr bigint, record string")
+    text = '{ print $2; nextofile; if (NR == 2) print "side" > "side" }'
+    got = run_program(text, df, outputs=("one", "two")).collect()
+    assert [(r.dest, r.line) for r in got] == [("one", "beta"), ("two", "delta"), ("side", "side"), ("two", "x")]
+    assert [r.dest for r in run_program("{ print; nextofile }", df).collect()] == [None] * 3
+
+
+def test_domains_are_streams(spark):
+    """Each domain by itself, in order, also where its key is null; state doesn't go from one to the next."""
+    rows = [(k, i, f"{i}", "x") for i in range(400) for k in (None, "a", "b")]
+    df = spark.createDataFrame(rows, "k string, nr bigint, record string, __file string").repartition(5)
+    got = run_program("{ s += $1; n++ } n % 100 == 0 { print n, s } END { print \"end\", FILENAME }", df, by=["k"]).collect()
+    for k in (None, "a", "b"):
+        mine = sorted((r.nr, r.at, r.line) for r in got if r.k == k)
+        assert [x for _, _, x in mine] == [f"{n} {sum(range(n))}" for n in (100, 200, 300, 400)] + ["end "]
+    files = df.select(df.k.alias("file"), "nr", "record").where("k is not null")
+    got = run_program("NR == 1 { print FILENAME, FNR } { seen = 1 }", files, by=["file"]).collect()
+    assert {(r.file, r.line) for r in got} == {("a", "a 0"), ("b", "b 0")}
+    assert execute("{ n++ } END { print n }", ["x", "y"]) == "2\n" and execute('@include "lib"\n', includes=INCLUDES) == "begun\n"
