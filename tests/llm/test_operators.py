@@ -282,6 +282,30 @@ def test_line_dedup(docs, texts, nothing, spark):
     assert line_dedup.decide(nothing).count() == 0
 
 
+def test_line_dedup_of_near_copies(spark):
+    """Lines with odd tokens beside the line that most texts have: its hub is not the first, and some link with other copies alone."""
+    rng = random.Random(15)
+    base = [f"w{i}" for i in range(30)]
+    rows = []
+    for i in range(160):
+        w = list(base) if i > 8 and i % 3 == 0 else [x if rng.random() > 0.05 else f"odd{rng.randint(0, 5)}" for x in base]
+        w += [f"end{rng.randint(0, 1)}"] * rng.randint(0, 1)
+        rows.append((i % 120 if i % 40 else None, "\t".join(w) + "\n" + _words(rng, 12), "kept", 5))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, `__gone` string, `__gone_id` int").repartition(3)
+    # rows without identifier come first; rows that share one are ties line by line
+    lines = [((-1 if d is None else d, j), frozenset(x.lower().split())) for d, t, *_ in rows for j, x in enumerate(t.split("\n"))]
+    for num in (80, 90):
+        own = {}
+        for at, s in lines:
+            own[s] = min(own.get(s, at), at)
+        gone = {s: any(own[o] < own[s] and 100 * len(s & o) >= num * len(s | o) for o in own) for s in own}
+        want = collections.Counter((at[0], at[1], gone[s] or at > own[s]) for at, s in lines)
+        got = collections.Counter((-1 if r.doc_id is None else r.doc_id, r.line_no, r.removed) for r in line_dedup.decide(df, num).collect())
+        assert got == want and any(gone.values())
+    kept = line_dedup.dedup(df)
+    assert kept.columns == df.columns and {r["__gone"] for r in kept.collect()} == {"kept"} and kept.count() == len(rows)
+
+
 def test_langid(docs, texts, nothing, spark):
     rng = random.Random(4)
     stems = {"aa": "kalo mira tuso".split(), "bb": "grent holk strad".split()}
