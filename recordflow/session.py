@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import SparkSession
@@ -18,6 +19,16 @@ def session(app: str = "recordflow", master: str | None = None, shuffle_partitio
     return builder.getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder's name below the folder that the cluster names in spark.checkpoint.dir; only a local session without it gets one of its own."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        top = tempfile.mkdtemp(prefix="recordflow-")
+    return f"{top}/recordflow-{uuid.uuid4().hex}"
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to the executors, once a session's context, so that they can import it wherever they run."""
     sc = spark.sparkContext
