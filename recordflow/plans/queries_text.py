@@ -163,7 +163,7 @@ def edit_branch(t):
     return _edited(t, ":a;s/ee/e/;ta")
 
 
-@query(_LINES + " select doc_id, cast(nr as bigint) as nr, cast(0 as int) as at, md5(case when nr = 1 then regexp_replace(line, '^\s*', '') || '.' else line end) as line from l where nr <> 2")
+@query(_LINES + r" select doc_id, cast(nr as bigint) as nr, cast(0 as int) as at, md5(case when nr = 1 then regexp_replace(line, '^\s*', '') || '.' else line end) as line from l where nr <> 2")
 def edit_block(t):
     return _edited(t, "2{d}\n1{s/^[[:space:]]*//;s/$/./}")
 
