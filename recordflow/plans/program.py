@@ -171,6 +171,7 @@ class Plan:
     variables: dict
     fs: str
     outputs: tuple[str, ...] = ()
+    host: dict | None = None
 
     def run(self, records: DataFrame, by: list[str] | None = None, files: dict[str, str] | None = None) -> DataFrame:
         if self.kind == "rules":
@@ -180,10 +181,10 @@ class Plan:
         return _sequential(self, records, by or [], files or {})
 
 
-def compile_program(text: str, variables: dict | None = None, fs: str = " ", includes: dict[str, str] | None = None, outputs: tuple[str, ...] = ()) -> Plan:
+def compile_program(text: str, variables: dict | None = None, fs: str = " ", includes: dict[str, str] | None = None, outputs: tuple[str, ...] = (), host: dict | None = None) -> Plan:
     p = parse(text, includes)
     variables = variables or {}
-    plain = not (p.functions or p.globals or outputs) and set(p.pragmas) <= {"implicit"}
+    plain = not (p.functions or p.globals or outputs or host) and set(p.pragmas) <= {"implicit"}
     settings = _settings(p, variables, fs) if plain else None
     for kind, fits in (("rules", _is_rules), ("fold", _is_fold)):
         if settings is not None:
@@ -192,7 +193,7 @@ def compile_program(text: str, variables: dict | None = None, fs: str = " ", inc
                     return Plan(kind, p, *settings)
             except NotPure:
                 pass
-    return Plan("sequential", p, variables, fs, outputs)
+    return Plan("sequential", p, variables, fs, outputs, host)
 
 
 
@@ -371,7 +372,7 @@ def _fold(plan: Plan, records: DataFrame) -> DataFrame:
 
 
 def _sequential(plan: Plan, records: DataFrame, by: list[str], files: dict[str, str]) -> DataFrame:
-    program, variables, fs, outputs = plan.program, plan.variables, plan.fs, plan.outputs
+    program, variables, fs, outputs, host = plan.program, plan.variables, plan.fs, plan.outputs, plan.host
     has = records.columns
     columns = ["nr", "record", *[c for c in ("file", "fnr") if c in has and c not in by]]
     file_at, fnr_at = (columns.index(c) if c in columns else None for c in ("file", "fnr"))
@@ -380,7 +381,7 @@ def _sequential(plan: Plan, records: DataFrame, by: list[str], files: dict[str,
     def run(rows: Iterator[tuple]) -> Iterator[tuple]:
         given = ((r[file_at] if file_at is not None else "", r[fnr_at] if fnr_at is not None else r[0], r[1]) for r in rows)
         last = at = None
-        for nr, dest, text in Interpreter(program, variables, files, fs, outputs=outputs).run(given):
+        for nr, dest, text in Interpreter(program, variables, files, fs, outputs=outputs, host=host).run(given):
             at, last = (at + 1 if nr == last else 0), nr
             yield nr, at, dest, text.removesuffix("\n")
 
@@ -392,12 +393,14 @@ def _sequential(plan: Plan, records: DataFrame, by: list[str], files: dict[str,
     return in_order(records.select(*by, *columns), by, ["nr"], run, out)
 
 
-def run_program(text: str, records: DataFrame, by: list[str] | None = None, variables: dict | None = None, fs: str = " ", files: dict[str, str] | None = None, includes: dict[str, str] | None = None, outputs: tuple[str, ...] = ()) -> DataFrame:
-    """files: texts for getline; includes: texts for @include; outputs: names of the console outputs, which the destination column gets."""
-    return compile_program(text, variables, fs, includes, outputs).run(records, by, files)
+def run_program(text: str, records: DataFrame, by: list[str] | None = None, variables: dict | None = None, fs: str = " ", files: dict[str, str] | None = None, includes: dict[str, str] | None = None, outputs: tuple[str, ...] = (), host: dict | None = None) -> DataFrame:
+    """files: texts for getline; includes: texts for @include; outputs: names of the console outputs, which the destination column gets;
+    host: Python functions that the program may call, which go to the executors with it.
+    """
+    return compile_program(text, variables, fs, includes, outputs, host).run(records, by, files)
 
 
-def execute(text: str, records: Iterable[str] = (), variables: dict | None = None, fs: str = " ", files: dict[str, str] | None = None, includes: dict[str, str] | None = None) -> str:
+def execute(text: str, records: Iterable[str] = (), variables: dict | None = None, fs: str = " ", files: dict[str, str] | None = None, includes: dict[str, str] | None = None, host: dict | None = None) -> str:
     """What a program prints to the console, run here and now over a few records or none: for programs that only compute."""
     rows = (("", i, r) for i, r in enumerate(records, 1))
-    return "".join(x for _, dest, x in Interpreter(parse(text, includes), variables, files, fs).run(rows) if dest is None)
+    return "".join(x for _, dest, x in Interpreter(parse(text, includes), variables, files, fs, host=host).run(rows) if dest is None)

@@ -3,6 +3,7 @@
 import pytest
 
 from recordflow.plans.grammar import parse
+from recordflow.plans.host import sqlite_module, stores
 from recordflow.plans.program import compile_program, execute, run_program
 from recordflow.plans.sequential import Interpreter
 
@@ -158,3 +159,38 @@ def test_domains_are_streams(spark):
     got = run_program("NR == 1 { print FILENAME, FNR } { seen = 1 }", files, by=["file"]).collect()
     assert {(r.file, r.line) for r in got} == {("a", "a 0"), ("b", "b 0")}
     assert execute("{ n++ } END { print n }", ["x", "y"]) == "2\n" and execute('@include "lib"\n', includes=INCLUDES) == "begun\n"
+
+
+def test_host_functions(spark):
+    @stores(1)
+    def halves(x, out):
+        out.set(x / 2)
+        return len(str(x))
+
+    host = {"halves": halves, "my::join": lambda *a: "+".join(map(str, a))}
+    assert execute('BEGIN { n = halves(9, h); print n, h, my::join(1, "b"); m["k"] = 0; halves(4, m["k"]); print m["k"], hawk::function_exists("halves") }', host=host) == "1 4.5 1+b\n2 1\n"
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "nr bigint, record string")
+    assert [r.line for r in run_program("{ print my::join($1, NR) }", df, host=host).orderBy("nr").collect()] == ["a+1", "b+2"]
+
+
+def test_database_from_a_program(tmp_path):
+    text = r"""
+    @pragma entry main
+    @pragma implicit off
+    function main() {
+        @local db, st, row, out;
+        db = sqlite::open();
+        print sqlite::exec(db, "select 1"), sqlite::connect(db, path()), sqlite::exec(db, "create table t(id integer primary key, name text, score real, raw blob)");
+        st = sqlite::prepare(db, "insert into t(name, score, raw) values (?, ?, ?)");
+        print sqlite::bind_str(st, 1, "alice"), sqlite::bind_flt(st, 2, 1.5), sqlite::bind_blob(st, 3, @b"\x01\x02"), sqlite::fetch_row(st, row), sqlite::changes(db), sqlite::last_insert_rowid(db);
+        sqlite::reset(st); sqlite::bind(st, 1, "bob's"); sqlite::bind_int(st, 2, 2); sqlite::bind_null(st, 3);
+        print sqlite::fetch_row(st, row), sqlite::last_insert_rowid(db), sqlite::finalize(st), sqlite::finalize(st);
+        st = sqlite::prepare(db, "select id, name, score, raw from t where score > ? order by id");
+        sqlite::bind(st, 1, 1);
+        print sqlite::column_count(st), sqlite::column_name(st, 2), sqlite::column_name(st, 9);
+        while (sqlite::fetch_row(st, row) > 0) print row["1"], row["2"], row["3"], hawk::typename(row["3"]), hawk::typename(row["4"]);
+        print sqlite::escape_string(db, "it's", out), out;
+        print sqlite::prepare(db, "select nothing from nowhere"), (length(sqlite::errmsg()) > 0), sqlite::close(db), sqlite::exec(db, "select 1");
+    }"""
+    got = execute(text, host=sqlite_module() | {"path": lambda: str(tmp_path / "x.db")})
+    assert got.splitlines() == ["-1 0 0", "0 0 0 0 1 1", "0 2 0 -1", "4 name -1", "1 alice 1.5 flt mbs", "2 bob's 2 flt nil", "0 it''s", "-1 1 0 -1"]
