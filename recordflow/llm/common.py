@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -12,7 +15,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
-_TABLES: list[str] = []
+#: The list that the tables written in an owned() block are added to.
+_OWNER: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("owner", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,19 +38,34 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def table(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet into the shared folder and reads it back, which cuts the lineage."""
+    """Writes df as Parquet into the shared folder and reads it back, which cuts the lineage.
+
+    It stays until whoever called inside an owned() block drops it; a frame that reads it may be used at any time.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/recordflow-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    _TABLES.append(path)
+    owner = _OWNER.get()
+    if owner is not None:
+        owner.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_tables(spark: SparkSession) -> None:
-    """Deletes what table() has written so far. Only for when no result that reads it is still needed."""
+@contextlib.contextmanager
+def owned(paths: list[str]) -> Iterator[list[str]]:
+    """The tables that are written inside are named in `paths`, and belong to the caller alone."""
+    before = _OWNER.set(paths)
+    try:
+        yield paths
+    finally:
+        _OWNER.reset(before)
+
+
+def drop_tables(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes an owner's tables. Only for when no result that reads them is still needed."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    while _TABLES:
-        path = jvm.org.apache.hadoop.fs.Path(_TABLES.pop())
+    while paths:
+        path = jvm.org.apache.hadoop.fs.Path(paths.pop())
         path.getFileSystem(conf).delete(path, True)
 
 
@@ -80,7 +99,7 @@ def longs(column: pa.Array, null: int = 0) -> np.ndarray:
     return column.cast(pa.int64()).fill_null(null).to_numpy(zero_copy_only=False)
 
 
-def slices(texts: list[bytes | None], most: int = 2_000_000) -> Iterator[tuple[int, int]]:
+def slices(texts: list[bytes | None], most: int = 1_000_000) -> Iterator[tuple[int, int]]:
     """Ranges of rows of about `most` bytes together; a longer text has a range of its own."""
     start = size = 0
     for i, t in enumerate(texts):
@@ -93,10 +112,24 @@ def slices(texts: list[bytes | None], most: int = 2_000_000) -> Iterator[tuple[i
         yield start, len(texts)
 
 
+def lean(run):
+    """run, a function over batches, giving the worker's free memory back to the system at the end: workers live on beside other tasks."""
+
+    def then(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # where the C library has it
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return then
+
+
 class Memo(dict):
     """Words to 64-bit numbers. It forgets all when it has grown large, so a worker's memory is bounded."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 100_000):
         super().__init__()
         self.most = most
 

@@ -12,7 +12,8 @@ joined by a shuffle on fingerprints instead, and the texts of the pairs found ar
 
 Defined cases: null or empty texts have no words (no hits; as items they have no window). Items that share an
 identifier count once; an item without identifier hits words but is not counted. Rows that share a doc_id stay
-rows of their own. An empty benchmark hits nothing; an empty documents table gives no rows.
+rows of their own, and so do rows without one. Texts of any length are read whole. Further columns, of any name, are carried along. An
+empty benchmark hits nothing; an empty documents table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, fresh, grams, mix, numbers, octets, slices, table, widened
+from .common import Memo, fresh, grams, lean, mix, numbers, octets, slices, table, widened
 
 #: Bytes that are no part of a word become blanks; A-Z become a-z.
 _TO_WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -151,7 +152,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     size = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     if size <= broadcast_bytes:
         rows = [(r[0], r[1] and r[1].encode()) for r in items.collect()]
-        return docs.mapInArrow(_scan(Benchmark(rows, n), docs.columns.index(text_col), names), schema), names
+        return docs.mapInArrow(lean(_scan(Benchmark(rows, n), docs.columns.index(text_col), names)), schema), names
     return _by_shuffle(docs, items, text_col, names, n), names
 
 

@@ -9,7 +9,7 @@ into the next are joined afterwards from two boundary records a range.
 Defined cases: a null text counts as empty, and all empty texts are equal. Rows that share text and
 identifier count as rows of their own; exactly one row of each group stays. Rows without identifier sort after
 all others, so they stay only in groups in which no row has one (then keep_id is null). An empty table gives
-no rows. Further columns are carried along by `dedup` and left out by `groups`.
+no rows. Texts of any length are compared whole. Further columns, of any name, are carried along by `dedup` and left out by `groups`.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, octets, table, widened
+from .common import fresh, lean, octets, table, widened
 
 
 def _sorted(df: DataFrame, keep: str, id_col: str, text_col: str) -> tuple[DataFrame, list[str]]:
@@ -41,7 +41,7 @@ def _sorted(df: DataFrame, keep: str, id_col: str, text_col: str) -> tuple[DataF
 
     last = F.col(f"`{id_col}`").asc_nulls_first() if keep == "largest" else F.col(f"`{id_col}`").desc_nulls_first()
     order = [*names, last]
-    return df.mapInArrow(keys, widened(df, names, ("binary", "long", "long"))).repartitionByRange(*order).sortWithinPartitions(*order), names
+    return df.mapInArrow(lean(keys), widened(df, names, ("binary", "long", "long"))).repartitionByRange(*order).sortWithinPartitions(*order), names
 
 
 _RUNS = "doc_id bigint, sha binary, pid int, run bigint, n bigint, keep_id bigint, last boolean, edge boolean"
@@ -98,7 +98,7 @@ def _runs(id_at: int, text_at: int, carry: bool, names: list[str]):
         if held:
             yield from joined(held)
 
-    return walk
+    return lean(walk)
 
 
 def _chains(edges: list) -> list[tuple]:

@@ -10,8 +10,9 @@ Tokens: a blank followed by no blank always begins a pre-token of a byte-level B
 cut there and each chunk's ids are looked up in a bounded memo; chunks not seen before go to the tokenizer
 together. A text in which a blank is followed by white space goes to the tokenizer as a whole.
 
-Defined cases: a null or empty text is the separator alone. Rows that share a doc_id stay documents of their
-own. An empty table gives no pieces.
+Defined cases: a null or empty text is the separator alone. Rows that share a doc_id, or have
+none, stay documents of their own. A text of any length is encoded whole and cut over as many sequences as it fills. Columns of
+docs other than the two named may have any name and are not read. An empty table gives no pieces.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import longs, octets, table
+from .common import lean, longs, octets, table
 
 _BLANKS = re.compile(r" (?!\S)")
 
@@ -66,7 +67,7 @@ class Encoder:
     encoded by the same ranks in tiktoken, which is several times as fast; all others go to tokenizers.
     """
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 150_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -174,7 +175,7 @@ def _tokens(path: str, separator: int):
                 before += int(n.sum())
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array([pid] * len(n), pa.int32()), pa.array(ahead), pa.array(n), pa.array([x.tobytes() for x in ids], pa.binary())], ["doc_id", "pid", "before", "n", "ids"])
 
-    return run
+    return lean(run)
 
 
 _PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
@@ -202,7 +203,7 @@ def _cut(bases: dict[int, int], size: int, with_ids: bool):
                 cols, names = [*cols, pa.array(raw, pa.binary())], [*names, "ids"]
             yield pa.RecordBatch.from_arrays(cols, names)
 
-    return cut
+    return lean(cut)
 
 
 def pack(docs: DataFrame, tokenizer: str, size: int = 1024, separator: int = 0, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

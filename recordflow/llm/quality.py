@@ -12,7 +12,8 @@ then set right for the labels' shares among all labelled rows.
 
 Defined cases: null and empty texts have statistics of zero and get a score like others. Rows without label or
 identifier teach nothing. If only one label (or none) is found, every score is that label's share (0.5 without
-labels). An empty table gives no rows; further columns are carried along.
+labels). Repeated rows get equal scores. Texts of any length are read whole. An empty table gives no rows; further columns, of any
+name, are carried along.
 """
 
 from __future__ import annotations

@@ -12,7 +12,9 @@ share, which fits no shard, is divided, by a hash of the identifier (at most `sh
 Slots: each task counts its rows by shard, and the tasks' counts are summed into offsets.
 
 Defined cases: a null text counts as empty: size 1 (the text's UTF-8 bytes plus 1), checksum 0. Rows without
-identifier and rows that share one are rows like others. An empty table gives no rows.
+identifier and rows that share one are rows like others; groups of equal size are placed in order of their texts' hashes. Texts of
+any length count whole; only a group of more bytes than a shard is divided. Columns other than the two named may have any name and are
+not read. An empty table gives no rows.
 """
 
 from __future__ import annotations

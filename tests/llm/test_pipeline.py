@@ -117,3 +117,41 @@ def test_empty_documents(spark, sf_dir, tmp_path):
         spark.read.parquet(f"{sf_dir}/{t}.parquet").write.parquet(f"{tmp_path}/{t}.parquet")
     spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     assert P.run(spark, str(tmp_path)).count() == 0
+
+
+def test_frames_outlive_the_pipeline(spark, sf_dir):
+    """Tables belong to their run: no other run's results go with them."""
+    from recordflow.llm import sharding
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = sharding.shard(docs, 4)
+    first, second = P.run(spark, sf_dir), P.run(spark, sf_dir)
+    assert before.count() == docs.count()
+    assert sorted(map(str, first.drop("ids").collect())) == sorted(map(str, second.drop("ids").collect()))
+
+
+def test_stages_on_odd_rows(spark, sf_dir):
+    """Nulls in any column, repeated rows, rows without identifier, a very long text and columns named like helpers."""
+    rng = random.Random(3)
+    t = [_text(rng, 40) for _ in range(4)]
+    rows = [(1, t[0]), (1, t[0]), (2, t[0].upper()), (3, None), (4, None), (5, ""), (None, t[1]), (None, t[1]), (None, None), (6, " ".join(t[2].split()[:-1])), (7, t[2]), (8, _text(rng, 20_000)), (9, t[3] + " nastyword awfulword")]
+    rows = [(None if i is None else 1000 + i, x) for i, x in rows]
+    given = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
+    odd = [(*r, None, None, None) for r in given] + [(i, x, None, None, None, 1.5, "k", 7) for i, x in rows]
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, `__score` double, kept string, `__gone` int"
+    docs = spark.createDataFrame(odd, schema).where("text is not null or doc_id is null or doc_id > 999").repartition(3)
+    docs = docs.where("doc_id is null or doc_id > 999 or text <> ''")
+    seen = {}
+    for name, stage in P.STAGES:
+        got = stage(spark, docs, sf_dir)
+        seen[name] = sorted(str(r.doc_id and r.doc_id - 1000) for r in got.where("doc_id is null or doc_id > 999").select("doc_id").distinct().collect())
+        assert name == "packing" or got.columns == docs.columns
+        if name in ("toxicity", "exact_dedup"):
+            docs = spark.createDataFrame(got.collect(), schema)
+            assert got.where("doc_id is null").count() == (3 if name == "toxicity" else 1)
+    assert seen["toxicity"] == sorted({str(i and i - 1000) for i, _ in rows if i != 1009})
+    assert seen["exact_dedup"] == sorted(["2", "5", "6", "7", "8", "None"])  # 5: null is empty; None: of two equal rows one
+    assert seen["ngram_join"] == sorted(["2", "5", "6", "8", "None"])
+    assert seen["decontam"] == seen["exact_dedup"] and seen["packing"] == seen["exact_dedup"]
+    none = docs.limit(0)
+    assert all(stage(spark, none, sf_dir).count() == 0 for _, stage in P.STAGES)
