@@ -9,12 +9,13 @@ how far a slot's weight and factors move in a round (in full from SURE, below th
 SURE), because with so many slots chance alone gives thousands that seem to tell a little.
 
 Learning takes a bounded sample of the labelled rows: of each label the `most` rows first by hash of their
-identifier. The sample's texts are reduced to slots on the executors; the driver gets at most 2 * most arrays
-of slots. Scoring is one pass over the documents.
+identifier. The sample's texts are reduced to slots on the executors, which also count them; the driver gets at most
+2 * most arrays of at most 2 * slots numbers. Scoring is one pass over the documents.
 
 Defined cases: null and empty texts have no terms and get the bias' score. Rows without label or identifier
 teach nothing; a repeated identifier counts as several rows. If only one label (or none) is found, every score
-is that label's share (0 without labels). An empty table gives no rows; further columns are carried along.
+is that label's share (0 without labels). Repeated rows get equal scores. Texts of any length are read whole. An empty table gives no
+rows; further columns, of any name, are carried along.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, octets, widened
+from .common import fresh, lean, octets, table, widened
 
 SLOTS = 1 << 20
 LEAST = 3
@@ -55,6 +56,28 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["label", "slots"])
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(slot, rows of label 1, rows of label 0) of the task's rows."""
+    counts = np.zeros((2, SLOTS), np.int32)
+    for b in batches:
+        for label, slots in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            counts[label][np.frombuffer(slots, "<i4")] += 1  # a row's slots are distinct
+    seen = np.flatnonzero(counts.any(0))
+    yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(counts[1][seen]), pa.array(counts[0][seen])], ["slot", "p", "q"])
+
+
+def _kept(slots: list[int]):
+    """Each row with those of its slots that are in a sorted list."""
+    best = np.array(slots, "<i4")
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = [np.frombuffer(x, "<i4") for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.intersect1d(x, best, assume_unique=True).tobytes() for x in own], pa.binary())], ["label", "slots"])
+
+    return kept
+
+
 class Machine:
     """bias, and for each slot of `slots` (sorted) a weight and a row of factors."""
 
@@ -125,7 +148,7 @@ def _scored(machine: Machine, text_at: int, name: str):
 
         class Places(dict):
             def __missing__(self, word: bytes) -> tuple[int, ...]:
-                if len(self) > 400_000:
+                if len(self) > 60_000:
                     self.clear()
                 got = self[word] = tuple(place[s] for s in word_slots(word) if s in place)
                 return got
@@ -139,20 +162,31 @@ def _scored(machine: Machine, text_at: int, name: str):
                 out.append(1 / (1 + np.exp(-min(30.0, max(-30.0, raw)))))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.float64())], [*b.schema.names, name])
 
-    return score
+    return lean(score)
+
 
+def fit(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_id", text_col: str = "text", most: int = 4_000, slots: int = 20_000) -> Machine:
+    """Learns from the rows of labels, of each label the `most` rows first by hash of their identifier.
 
-def fit(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_id", text_col: str = "text", most: int = 4_000) -> Machine:
-    """Learns from the rows of labels, of each label the `most` rows first by hash of their identifier."""
+    The sampled rows' slots are counted by the executors; of each row the driver gets at most 2 * slots numbers.
+    """
     lab = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("int").alias("label")).where("id is not null and label in (0, 1)")
     counts = {r[0]: r[1] for r in lab.groupBy("label").count().collect()}
     order = [F.xxhash64("id"), "id"]
     some = lab.where("label = 1").orderBy(*order).limit(most).union(lab.where("label = 0").orderBy(*order).limit(most))
     text = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    rows = text.join(F.broadcast(some), "id").select("label", "text").mapInArrow(_sampled, "label int, slots binary").collect()  # at most 2 * most ids
+    some = text.join(F.broadcast(some), "id").select("label", "text")  # at most 2 * most ids
+    rows = table(some.mapInArrow(_sampled, "label int, slots binary"), "sampled")
+    # twice as many slots as learn() takes, so that it has the choice; the driver then gets no more of a row than these
+    size = {r[0]: r[1] for r in rows.groupBy("label").count().collect()}
+    n1, n0 = size.get(1, 0), size.get(0, 0)
+    seen = rows.mapInArrow(_counted, "slot int, p int, q int").groupBy("slot").agg(F.sum("p").alias("p"), F.sum("q").alias("q")).where(f"p + q >= {LEAST}")
+    chi = F.expr(f"pow(p * {n0}D - q * {n1}D, 2) / ((p + q) * greatest({n1 + n0} - p - q, 1))")
+    best = sorted(r[0] for r in seen.orderBy(chi.desc(), "slot").limit(2 * slots).select("slot").collect())
+    rows = rows.mapInArrow(_kept(best), "label int, slots binary").collect()
     n = sum(counts.values())
-    rows = sorted((label, bytes(slots)) for label, slots in rows)
-    return learn(rows, counts.get(1, 0) / n if n else None)
+    rows = sorted((label, bytes(held)) for label, held in rows)
+    return learn(rows, counts.get(1, 0) / n if n else None, slots)
 
 
 def score(docs: DataFrame, machine: Machine, text_col: str = "text") -> tuple[DataFrame, str]:
