@@ -4,13 +4,14 @@ A known word counts with its log frequency in each language. An unseen word coun
 of its longest character n-grams that are known (five letters, then four, down to one, word ends marked). The
 language with the highest sum wins; its score is its share of the exponentials of the sums.
 
-Learning reads a bounded sample: of each language about `most` documents, drawn by a hash of their identifier.
-Terms are counted by Spark; the model keeps the `words` most frequent words and the `ngrams` most frequent
-n-grams and travels with the tasks.
+Learning reads a bounded sample: of each language about `most` documents, drawn by a hash of their identifier and text.
+Terms are counted by Spark. The model keeps `words` words and, of each order, `ngrams` n-grams for each language that
+there is, those with the highest share in the language that has most of them, so no language or order takes the places
+of another. It travels with the tasks.
 
 Defined cases: a null text, or one without a letter, is `und` with score 0. Rows without language teach
-nothing; if no row has one, every text is `und`. Ties go to the language first in order of name. An empty table
-gives no rows; further columns are carried along.
+nothing; if no row has one, every text is `und`. Ties go to the language first in order of name. Repeated rows get equal
+results. Texts of any length are read whole. An empty table gives no rows; further columns, of any name, are carried along.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, octets, widened
+from .common import fresh, octets, table, widened
 
 #: ASCII bytes that are no letters become blanks, A-Z become a-z.
 _LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -80,21 +81,28 @@ class Model:
         return np.zeros(len(self.langs))
 
 
-def fit(docs: DataFrame, most: int = 1500, words: int = 60_000, ngrams: int = 60_000, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text") -> Model:
+def fit(docs: DataFrame, most: int = 1500, words: int = 15_000, ngrams: int = 4_000, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text") -> Model:
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{text_col}`").cast("string").alias("text")).where("lang is not null")
     sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}  # one a language
     langs = sorted(sizes)
     if not langs:
         return Model([], {})
     share = F.create_map(*[x for lang in langs for x in (F.lit(lang), F.lit(most / sizes[lang]))])
-    some = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < F.lit(1 << 20) * F.element_at(share, F.col("lang"))).select("lang", "text")
+    some = rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(1 << 20)) < F.lit(1 << 20) * F.element_at(share, F.col("lang"))).select("lang", "text")
     counts = some.mapInArrow(_counted, "lang string, k int, term string, n bigint").groupBy("k", "term", "lang").agg(F.sum("n").alias("n"))
-    by_term = counts.groupBy("k", "term").agg(F.sum("n").alias("all"), F.collect_list(F.struct("lang", "n")).alias("by"))  # one entry a language
-    kept = by_term.where("k = 0").orderBy(F.desc("all"), "term").limit(words).union(by_term.where("k > 0").orderBy(F.desc("all"), "k", "term").limit(ngrams)).collect()
+    # each order has its own limit, which grows with the languages; a term counts by its share in the language that has most of it
+    sums = counts.groupBy("k", "lang").agg(F.sum("n").alias("all"))  # one row an order and language
+    shares = counts.join(F.broadcast(sums), ["k", "lang"]).withColumn("share", F.col("n") / F.col("all"))
+    by_term = shares.groupBy("k", "term").agg(F.max("share").alias("share"), F.collect_list(F.struct("lang", "n")).alias("by"))  # one entry a language
+    by_term = table(by_term, "terms")
+    kept = []
+    for k in (0, *ORDERS):
+        limit = len(langs) * (ngrams if k else words)
+        kept += by_term.where(F.col("k") == k).orderBy(F.desc("share"), "term").limit(limit).select("k", "term", "by").collect()
     at = {lang: i for i, lang in enumerate(langs)}
     total = np.zeros((max(ORDERS) + 1, len(langs)))
     raw: dict[int, dict[str, np.ndarray]] = {}
-    for k, term, _, by in kept:
+    for k, term, by in kept:
         v = np.zeros(len(langs))
         for lang, n in by:
             v[at[lang]] = n
@@ -130,7 +138,7 @@ def _predict(model: Model, text_at: int, names: list[str]):
         for b in batches:
             langs, scores = [], []
             for t in octets(b.column(text_at)):
-                if len(memo) > 300_000:
+                if len(memo) > 100_000:
                     memo.clear()
                 ws = tokens(t)
                 at = np.fromiter(map(memo.__getitem__, ws), np.int64, len(ws))
