@@ -46,10 +46,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Memo, fresh, grams, longs, mix, numbers, octets, slices, table
+from .common import Memo, fresh, grams, lean, longs, mix, numbers, octets, slices, table
 from .components import components
 
 GROUPS = 256  # coordinates of a point in the trees
@@ -124,7 +124,7 @@ def _emit(k: int, t: Threshold):
         memo, first = Memo(), {}
         for b in batches:
             ids, texts = b.column(0).to_pylist(), octets(b.column(1))
-            for i, j in slices(texts, 4_000_000):
+            for i, j in slices(texts):
                 sig, kind, own, ref, size, points = [], [], [], [], [], []
                 for d, text in zip(ids[i:j], texts[i:j], strict=True):
                     s = shingles(text, k, memo)
@@ -137,7 +137,7 @@ def _emit(k: int, t: Threshold):
                         a, c = int(m.sum()), int(mix(m + np.uint64(n)).sum())
                         one = first.get((a, c))
                         if one is None:
-                            if len(first) > 200_000:
+                            if len(first) > 50_000:
                                 first.clear()
                             first[a, c] = d
                             own_keys = keys(s, t)
@@ -158,7 +158,7 @@ def _emit(k: int, t: Threshold):
                     points.append(None)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sig).view(np.int64)), pa.array(kind, pa.int8()), pa.array(own, pa.int64()), pa.array(ref, pa.int64()), pa.array(size, pa.int64()), pa.array(points, pa.binary())], _NAMES)
 
-    return emit
+    return lean(emit)
 
 
 def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,7 +226,7 @@ def _sets(k: int, names: list[str]):
             got = [shingles(t, k, memo).tobytes() for t in octets(b.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.binary()), *b.columns[2:]], names)
 
-    return sets
+    return lean(sets)
 
 
 class RTree:
@@ -293,8 +293,8 @@ class Union:
         return x != y
 
 
-def candidates(points: np.ndarray, comp: np.ndarray, left: np.ndarray, right: np.ndarray, t: Threshold) -> tuple[np.ndarray, ...]:
-    """(a, b, bound on what they share) of rows of `left` and of `right` in different components that the bound lets be linked."""
+def candidates(points: np.ndarray, comp: np.ndarray, left: np.ndarray, right: np.ndarray, t: Threshold) -> Iterator[tuple[int, np.ndarray]]:
+    """Rows of one side, each with those of the other side in another component that the bound lets be linked; every pair once."""
     if len(left) > len(right):
         left, right = right, left
     same = len(left) == len(right) and bool((left == right).all())
@@ -303,32 +303,37 @@ def candidates(points: np.ndarray, comp: np.ndarray, left: np.ndarray, right: np
         asked = left[comp[left] != value[count.argmax()]]
     else:
         asked = left
-    tree, size = RTree(points[right]), points.sum(1, dtype=np.int64)
+    tree = RTree(points[right])
     took = np.zeros(len(points), bool)
     took[asked] = same
-    a, b, shared = [left[:0]], [left[:0]], [np.empty(0)]
-    for i in asked:
+    for i in asked.tolist():
         j = right[tree.near(points[i], t)]
         j = j[(comp[j] != comp[i]) & ~(took[j] & (j <= i))]
-        a.append(np.full(len(j), i))
-        b.append(j)
-        shared.append(np.minimum(points[j], points[i]).sum(1, dtype=np.int64) / (size[j] + size[i]))
-    return np.concatenate(a), np.concatenate(b), np.concatenate(shared)
+        if len(j):
+            yield i, j
 
 
 def spanning_links(points: np.ndarray, sets: list[np.ndarray], comp: np.ndarray, left: np.ndarray, right: np.ndarray, t: Threshold) -> list[tuple[int, int]]:
     """Links between rows of `left` and rows of `right` that join their components as all links would."""
-    a, b, shared = candidates(points, comp, left, right, t)
+    size = points.sum(1, dtype=np.int64)
+    a, b, shared = [np.empty(0, np.int32)], [np.empty(0, np.int32)], [np.empty(0, np.float32)]
+    for i, j in candidates(points, comp, left, right, t):
+        a.append(np.full(len(j), i, np.int32))
+        b.append(j.astype(np.int32))
+        shared.append((np.minimum(points[j], points[i]).sum(1, dtype=np.int64) / (size[j] + size[i])).astype(np.float32))
+    order = np.argsort(-np.concatenate(shared), kind="stable")
+    del shared
+    a, b = np.concatenate(a)[order], np.concatenate(b)[order]
     over, out = Union(len(points), comp), []
-    for k in np.argsort(-shared, kind="stable").tolist():
-        x, y = int(a[k]), int(b[k])
-        if over.root(x) == over.root(y):
-            continue
-        both = np.concatenate([sets[x], sets[y]])
-        both.sort()
-        if t.linked(int((both[1:] == both[:-1]).sum()), len(both)):
-            over.join(x, y)
-            out.append((min(x, y), max(x, y)))
+    for at in range(0, len(a), 50_000):
+        for x, y in zip(a[at : at + 50_000].tolist(), b[at : at + 50_000].tolist(), strict=True):
+            if over.root(x) == over.root(y):
+                continue
+            both = np.concatenate([sets[x], sets[y]])
+            both.sort()
+            if t.linked(int((both[1:] == both[:-1]).sum()), len(both)):
+                over.join(x, y)
+                out.append((min(x, y), max(x, y)))
     return out
 
 
@@ -371,7 +376,7 @@ def _groups(solve, width: int):
         if parts:
             yield from solve(key, pa.Table.from_batches(parts))
 
-    return groups
+    return lean(groups)
 
 
 def _sides(key: tuple, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -395,7 +400,7 @@ def _bounded(t: Threshold):
             keep = t.linked(np.minimum(x, y).sum(1, dtype=np.int64), x.sum(1, dtype=np.int64) + y.sum(1, dtype=np.int64))
             yield pa.RecordBatch.from_arrays([b.column(c).filter(pa.array(keep)) for c in (0, 1)], ["hub", "id"])
 
-    return bounded
+    return lean(bounded)
 
 
 def _stars(t: Threshold):
@@ -416,7 +421,7 @@ def _stars(t: Threshold):
             if links:
                 yield _pairs(*np.array(links, np.int64).T)
 
-    return stars
+    return lean(stars)
 
 
 def _hints(t: Threshold):
@@ -426,11 +431,15 @@ def _hints(t: Threshold):
         own, ids, comp = (longs(rows.column(c).combine_chunks()) for c in (3, 4, 5))
         left, right = _sides(key, own)
         if len(left) and len(right) and (comp != comp[0]).any():
-            a, b, _ = candidates(unpacked(rows.column(6).to_pylist()), comp, left, right, t)
-            over = Union(len(ids))
-            some = [k for k, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)) if over.join(x, y)]
+            of, some = np.arange(len(ids)), []
+            for x, near in candidates(unpacked(rows.column(6).to_pylist()), comp, left, right, t):
+                apart, at = np.unique(of[near], return_index=True)
+                for o, y in zip(apart.tolist(), near[at].tolist(), strict=True):
+                    if o != of[x]:
+                        some.append((x, y))
+                        of[of == o] = of[x]
             if some:
-                yield _pairs(ids[a[some]], ids[b[some]])
+                yield _pairs(*ids[np.array(some).T])
 
     return _groups(solve, 3)
 
@@ -490,16 +499,23 @@ def _shape(rows: DataFrame, group: str, weight: str | None = None, every: bool =
     return of.select(group, "main", main.alias("blocks_main"), rest.alias("blocks_rest")).where("blocks_rest > 0")
 
 
+def _small(ids: DataFrame) -> DataFrame:
+    """A table of a few numbers a row: up to a million rows are broadcast, more joined by a shuffle."""
+    return F.broadcast(ids) if ids.count() <= 1_000_000 else ids
+
+
 def _known(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The texts of some ids. Up to a million ids are broadcast; more are joined by a shuffle."""
-    return texts.join(F.broadcast(wanted) if wanted.count() <= 1_000_000 else wanted, "id")
+    """The texts of some ids."""
+    return texts.join(_small(wanted), "id")
 
 
 def _hub_links(buckets: DataFrame, points: DataFrame, texts: DataFrame, k: int, t: Threshold) -> tuple[DataFrame, DataFrame]:
-    """(sig, hub) of each bucket, and the links (a, b) of hubs with members of their buckets."""
+    """(sig, id, hub) of each bucket's members beside its hub, and the links (a, b) of hubs with members of their buckets."""
     weight = buckets.groupBy("id").agg(F.sum("members").alias("weight"))
-    hub = buckets.join(weight, "id").groupBy("sig").agg(F.max_by("id", F.struct("weight", -F.col("id"))).alias("hub")).checkpoint()
-    pairs = buckets.join(hub, "sig").where("id <> hub").select("hub", "id").distinct()
+    first = Window.partitionBy("sig").orderBy(F.desc("weight"), "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rest = buckets.join(weight, "id").select("sig", "id", F.first("id").over(first).alias("hub")).where("id <> hub")
+    rest = table(rest, "hubs")
+    pairs = rest.select("hub", "id").distinct()
     held = pairs.join(points, "id").select("hub", "id", "point").join(points.select(F.col("id").alias("hub"), F.col("point").alias("own")), "hub")
     near = held.select("hub", "id", "own", "point").mapInArrow(_bounded(t), "hub bigint, id bigint").distinct().checkpoint()
     salts = near.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("salts"))
@@ -509,7 +525,7 @@ def _hub_links(buckets: DataFrame, points: DataFrame, texts: DataFrame, k: int,
     sets = _known(texts, wanted).select("id", "text").mapInArrow(_sets(k, ["id", "shingles"]), "id bigint, shingles binary")
     dealt = salted.union(own).join(sets, "id").select("hub", "salt", "role", "id", "shingles")
     links = dealt.repartition("hub", "salt").sortWithinPartitions("hub", "salt", "role", "id").mapInArrow(_stars(t), _LINKS)
-    return hub, links.select("a", "b").distinct().checkpoint()
+    return rest, links.select("a", "b").distinct().checkpoint()
 
 
 def classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", count: bool = False) -> DataFrame:
@@ -520,10 +536,12 @@ def classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col:
     rows = table(rows.mapInArrow(_match, _ROWS), "matches")
     whole = rows.where(f"kind = {_WHOLE}").select("id", F.col("ref").alias("rep"), "n")
     same = rows.where(f"kind = {_SAME}").select("id", "ref", "n")
-    buckets = rows.where(f"kind = {_KEY}").join(whole.select("id", "rep"), "id").select("sig", F.col("rep").alias("id")).distinct()
-    members = buckets.groupBy("sig").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    buckets = table(buckets.join(members, "sig"), "buckets")
-    points = rows.where(f"kind = {_WHOLE} and id = ref").select("id", "n", "point").distinct()
+    # keys of a text whose set another text stands for are that text's too
+    others = whole.groupBy("id").agg(F.max(F.col("rep") == F.col("id")).alias("stands")).where("not stands").select("id").checkpoint()
+    keyed = rows.where(f"kind = {_KEY}").select("sig", "id").join(_small(others), "id", "left_anti")
+    crowd = F.count(F.lit(1)).over(Window.partitionBy("sig"))
+    buckets = table(keyed.select("sig", "id", crowd.alias("members")).where("members > 1"), "buckets")
+    points = rows.where(f"kind = {_WHOLE} and id = ref").select("id", "n", "point")
     if count:
         again = same.where("n > 0").groupBy(F.col("ref").alias("id")).agg(F.count(F.lit(1)).alias("more"))
         # of rows that share an identifier, one takes the copies that other rows name by it
@@ -531,12 +549,11 @@ def classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col:
         copies = whole_ids.join(again, "id", "left").groupBy("rep").agg(F.sum(F.col("own") + F.coalesce("more", F.lit(0))).alias("copies")).checkpoint()
         left = buckets.select("sig", "id", F.col("id").alias("comp"))
     else:
-        hub, links = _hub_links(buckets, points.select("id", "point"), texts, k, t)
+        rest, links = _hub_links(buckets, points.select("id", "point"), texts, k, t)
         comp = components(links)
-        others = buckets.join(hub, "sig").where("id <> hub").join(comp.withColumnRenamed("node", "id"), "id", "left")
-        left = others.select("sig", "id", F.coalesce("component", "id").alias("comp")).checkpoint()
-        apart = left.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("sig")
-        left = left.join(apart, "sig")
+        left = rest.join(comp.withColumnRenamed("node", "id"), "id", "left").select("sig", "id", F.coalesce("component", "id").alias("comp"))
+        of = Window.partitionBy("sig")
+        left = left.select("*", F.min("comp").over(of).alias("low"), F.max("comp").over(of).alias("high")).where("low <> high").select("sig", "id", "comp").checkpoint()
     held = left.join(points.select("id", "point"), "id")
     dealt = _dealt(held, "sig", _shape(left, "sig", every=count)).select("sig", "i", "j", "own", "id", "comp", "point")
     hints = dealt.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j").mapInArrow(_hints(t), _LINKS)
