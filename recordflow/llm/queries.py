@@ -31,7 +31,8 @@ def op1_ngram_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.repeats(_read(spark, sf_dir, "documents"), length=400).drop("spans")
+    """Also n_passage_words: words in passages of 50 words or more that repeat, of which some are shorter than 400 bytes."""
+    return suffix_dedup.repeats(_read(spark, sf_dir, "documents"), length=400, words=50).drop("spans")
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

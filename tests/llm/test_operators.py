@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 
 from recordflow.llm import decontam, exact_dedup, langid, line_dedup, ngram_join, packing, quality, sharding, suffix_dedup, toxicity
+from recordflow.llm import components as components_module
 from recordflow.llm.components import components
 from recordflow.llm.queries import tokenizer_path
 
@@ -150,10 +151,16 @@ def test_points_of_long_texts():
     assert again.sum(1).tolist() == [70_000, len(few)] and len(ngram_join.packed(ngram_join.point(few))) == ngram_join.GROUPS
 
 
-def test_components_that_do_not_converge_raise(spark):
+@pytest.mark.parametrize("small", [200_000, 40, 0])
+def test_components(spark, monkeypatch, small):
+    """By one task from some number of edges on, at once or after some rounds, or by rounds alone; what isn't found raises."""
+    monkeypatch.setattr(components_module, "SMALL", small)
     chain = spark.range(300).selectExpr("id as a", "id + 1 as b")
-    with pytest.raises(RuntimeError, match="rounds"):
-        components(chain, rounds=2)
+    assert {r.component for r in components(chain).collect()} == {0}
+    if not small:
+        with pytest.raises(RuntimeError, match="rounds"):
+            components(chain, rounds=2)
+    assert components(chain.limit(0)).count() == 0
     odd = spark.createDataFrame([(1, 2), (2, 1), (1, 1), (5, 5), (None, 3), (4, None)], "a bigint, b bigint")
     assert sorted(map(tuple, components(odd).collect())) == [(1, 1), (2, 1)]
 
@@ -207,6 +214,28 @@ def test_suffix_dedup(docs, texts, nothing):
     assert suffix_dedup.repeats(nothing).count() == 0
 
 
+@pytest.mark.parametrize("many,chunk", [(4000, 1 << 20), (3, 700)])
+def test_passages_in_words(docs, texts, nothing, monkeypatch, many, chunk):
+    monkeypatch.setattr(suffix_dedup, "MANY", many)
+    monkeypatch.setattr(suffix_dedup, "CHUNK", chunk)
+    n, seen = 12, collections.Counter()
+    split = [(d, (t or "").encode().split()) for d, t in texts]
+    for _, w in split:
+        seen.update(tuple(w[i : i + n]) for i in range(len(w) - n + 1))
+    want = []
+    for d, w in split:
+        hit = np.zeros(len(w), bool)
+        for i in range(len(w) - n + 1):
+            if seen[tuple(w[i : i + n])] > 1:
+                hit[i : i + n] = True
+        want.append(str((d, int(hit.sum()))))
+    got = suffix_dedup.repeats(docs, 120, words=n).collect()
+    assert sorted(str((r.doc_id, r.n_passage_words)) for r in got) == sorted(want)
+    plain = sorted(str(tuple(r)[:6]) for r in suffix_dedup.repeats(docs, 120).collect())
+    assert sorted(str(tuple(r)[:6]) for r in got) == plain  # the removal is the same
+    assert suffix_dedup.repeats(nothing, words=n).count() == 0
+
+
 def test_suffix_dedup_of_crowded_buckets_and_long_texts(docs, spark, monkeypatch):
     plain = sorted(map(str, suffix_dedup.repeats(docs, 120).collect()))
     monkeypatch.setattr(suffix_dedup, "MANY", 3)
