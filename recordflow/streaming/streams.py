@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.program import Plan, compile_program
+from ..session import shared_folder
 
 
 def lines(spark: SparkSession, folder: str, files_at_once: int | None = None) -> DataFrame:
@@ -46,7 +47,8 @@ def sessions(df: DataFrame, time: str, gap: str, keys: list[str], late: str, **v
 
 
 def run_to_memory(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Runs all the input that there is, and gives what came out."""
-    q = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    """Runs all the input that there is, and gives what came out. State is kept in the folder that all executors share."""
+    writer = df.writeStream.format("memory").queryName(name).outputMode(mode)
+    q = writer.option("checkpointLocation", shared_folder(df.sparkSession)).trigger(availableNow=True).start()
     q.awaitTermination()
     return df.sparkSession.table(name)
