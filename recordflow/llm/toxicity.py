@@ -38,9 +38,13 @@ _SPLIT = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else
 
 def word_slots(word: bytes) -> tuple[int, ...]:
     """The slots of a word and of its runs of five letters."""
-    s = f"^{word.decode(errors='replace').lower()}"
-    terms = {s + "$", *(s[i : i + 5] for i in range(len(s) - 4))}
-    return tuple(xxhash.xxh3_64_intdigest(t.encode()) & (SLOTS - 1) for t in sorted(terms))
+    if word.isascii():  # a letter is a byte
+        s = b"^" + word.lower()
+        terms = {s + b"$", *(s[i : i + 5] for i in range(len(s) - 4))}
+    else:
+        t = f"^{word.decode(errors='replace').lower()}"
+        terms = {x.encode() for x in (t + "$", *(t[i : i + 5] for i in range(len(t) - 4)))}
+    return tuple(xxhash.xxh3_64_intdigest(t) & (SLOTS - 1) for t in terms)
 
 
 def text_words(text: bytes | None) -> set[bytes]:
@@ -148,7 +152,7 @@ def _scored(machine: Machine, text_at: int, name: str):
 
         class Places(dict):
             def __missing__(self, word: bytes) -> tuple[int, ...]:
-                if len(self) > 60_000:
+                if len(self) > 120_000:
                     self.clear()
                 got = self[word] = tuple(place[s] for s in word_slots(word) if s in place)
                 return got
