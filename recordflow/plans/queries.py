@@ -389,7 +389,7 @@ def sprintf_fmt(t):
 @query("select o_orderkey, printf('%08d|%-4s|%x|%+.1e', o_orderkey, o_orderstatus, o_orderkey, o_totalprice) as s from orders")
 def sprintf_general(t):
     k = F.col("o_orderkey")
-    return t("orders").select("o_orderkey", formatting.sprintf("%08d|%-4s|%x|%+.1e", k, F.col("o_orderstatus"), k, F.col("o_totalprice")).alias("s"))
+    return t("orders").select("o_orderkey", formatting.sprintf("%08d|%-4s|%x|%+.1e", k, F.col("o_orderstatus"), k, F.col("o_totalprice"), kinds=["bigint", "string", "bigint", "double"]).alias("s"))
 
 
 @query("select event_id, cast(json_extract(props, '$.k') as bigint) as k from events")

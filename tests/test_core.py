@@ -71,6 +71,18 @@ def test_sprintf(fmt, args, want):
     assert formatting.sprintf_text(fmt, args) == want
 
 
+@pytest.mark.parametrize("fmt", ["%d|%s|%.2f", "%8d|%-6s|%10.3f", "%08d|%.2s|%-9.1f|", "%+d %5s %.0f%%", "%x:%s:%f", "%-5i<%12s>%.15f", "%016x %s %.1f"])
+def test_sprintf_built_in_as_by_the_row(spark, fmt):
+    rows = [(n, t, x) for n in (0, 7, -12, 123456789012, None) for t, x in (("ab", 0.125), ("", 2.675), (None, -0.05), ("äö longer", 1e15 + 0.25), ("z", float("inf")), ("q", float("nan")), ("w", 0.25), ("v", 0.35), ("u", None))]
+    df = spark.createDataFrame(rows, "n bigint, t string, x double")
+    kinds = ["bigint", "string", "double"]
+    built = formatting.sprintf(fmt, df.n, df.t, df.x, kinds=kinds)
+    plan = df.select(built.alias("s"))
+    assert "Arrow" not in plan._jdf.queryExecution().toString()
+    want = [formatting.sprintf_text(fmt, [n, "" if t is None else t, 0.0 if x is None else x]) for n, t, x in rows]
+    assert [r.s for r in plan.collect()] == want
+
+
 def test_sprintf_needs_its_arguments(spark):
     with pytest.raises(ValueError):
         formatting.sprintf_text("%d %d", [1])
