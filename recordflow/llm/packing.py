@@ -67,7 +67,7 @@ class Encoder:
     encoded by the same ranks in tiktoken, which is several times as fast; all others go to tokenizers.
     """
 
-    def __init__(self, path: str, most: int = 150_000):
+    def __init__(self, path: str, most: int = 250_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
