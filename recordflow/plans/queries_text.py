@@ -206,7 +206,7 @@ def math_more(t):
 
 
 @query("""select l_orderkey, l_linenumber, -l_quantity as minus, round(case when l_linenumber = 1 then -1 else l_extendedprice / (l_linenumber - 1) end, 6) as quotient, l_returnflag = l_linestatus as same, true as kind, l_returnflag <> 'N' and not (l_linenumber > 2 or l_tax = 0) as logic from lineitem""")
-def operators_more(t):
+def logic_division(t):
     n, q = F.col("l_linenumber"), F.col("l_quantity")
     by = coerce.divide(F.col("l_extendedprice"), n - 1)
     a, b = F.col("l_returnflag"), F.col("l_linestatus")
