@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from recordflow.llm import decontam, exact_dedup, langid, line_dedup, ngram_join, packing, quality, sharding, suffix_dedup, toxicity
 from recordflow.llm import components as components_module
@@ -335,6 +336,32 @@ def test_line_dedup_of_near_copies(spark):
     assert kept.columns == df.columns and {r["__gone"] for r in kept.collect()} == {"kept"} and kept.count() == len(rows)
 
 
+def test_line_dedup_in_any_order_of_tokens(spark, monkeypatch):
+    """Rarity is counted in a sample, which may not change a result; numbers and parities are those of the distinct tokens."""
+    rng = random.Random(21)
+    some = [f"{_words(rng, 25)} same" for _ in range(40)]
+    rows = [(i, "\n".join([" ".join(rng.sample(w := rng.choice(some).split(), len(w))) + rng.choice(["", " odd", f" end{i}"]), "same"])) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    ranks = line_dedup.rarity(df, "doc_id", "text")
+    held = [r >> 56 for r in df.limit(1).select(ranks).first()[0]]
+    assert len(held) == line_dedup.CELLS and max(held) in range(10, 25)  # of all 800 the word "same" has 29
+
+    before, want = [], {}
+    for i, t in rows:
+        for j, line in enumerate(t.split("\n")):
+            s = set(line.split())
+            want[i, j] = any(100 * len(s & o) >= 90 * len(s | o) for o in before)
+            before.append(s)
+    for order in (ranks, line_dedup._constant([0] * line_dedup.CELLS), line_dedup._constant([(126 - r) << 56 for r in held])):
+        monkeypatch.setattr(line_dedup, "rarity", lambda *_, order=order: order)
+        assert {(r[0], r[1]): r[2] for r in line_dedup.decide(df).collect()} == want
+    of = line_dedup.lines(df).select(line_dedup._hashes(F.col("line")).alias("hashes")).select("*", line_dedup._numbers(F.col("hashes"), ranks).alias("numbers"))
+    assert not of.schema["numbers"].dataType.containsNull  # else they are sorted as objects
+    for r in of.select("*", line_dedup._parity(F.col("numbers")).alias("bits")).limit(50).collect():
+        odd = {i for i in range(64) if sum(x % 64 == i for x in r.numbers) % 2}
+        assert r.numbers == sorted(set(r.numbers)) and len(r.numbers) == len(r.hashes) and {i for i in range(64) if r.bits >> i & 1} == odd
+
+
 def test_langid(docs, texts, nothing, spark):
     rng = random.Random(4)
     stems = {"aa": "kalo mira tuso".split(), "bb": "grent holk strad".split()}
