@@ -7,8 +7,10 @@ at the multiples of the sequence length without seeing any other's. Pieces that
 are the boundary records: a sequence is read by putting its pieces in order of offset.
 
 Tokens: a blank followed by no blank always begins a pre-token of a byte-level BPE of this kind, so a text is
-cut there and each chunk's ids are looked up in a bounded memo; chunks not seen before go to the tokenizer
-together. A text in which a blank is followed by white space goes to the tokenizer as a whole.
+cut there, and a line feed alone between others is a pre-token of its own, so a text is cut on both sides of it (unless
+one of its line feeds has other white space beside it than a blank behind it). Each chunk's ids are looked up in a
+bounded memo; chunks not seen before go to the tokenizer together. A text in which a blank is followed by white space
+goes to the tokenizer as a whole.
 
 Defined cases: a null or empty text is the separator alone. Rows that share a doc_id, or have
 none, stay documents of their own. A text of any length is encoded whole and cut over as many sequences as it fills. Columns of
@@ -22,7 +24,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +35,7 @@ from pyspark.sql import functions as F
 from .common import lean, longs, octets, table
 
 _BLANKS = re.compile(r" (?!\S)")
+_FEEDS = re.compile(r"\n(?:(?<=\s\n)|(?=[^\S ]))")  # a line feed that isn't alone
 
 
 def _byte_of() -> dict[str, int]:
@@ -44,7 +47,8 @@ def _byte_of() -> dict[str, int]:
 
 
 #: Chunks of these characters alone are split alike by any version of the pattern.
-_PLAIN = re.compile(r"[ -~\n\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]*").fullmatch
+_PLAIN = re.compile(r"[ -~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]*").fullmatch
+_PLAIN_LINES = re.compile(r"[ -~\n\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]*").fullmatch
 
 
 class _Index(dict):
@@ -74,6 +78,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok, self.most = Tokenizer.from_file(path), most
+        self.feed, self.feeds = -1, False  # a line feed's id, and whether texts are cut at it
         self.quick = self._by_ranks(json.loads(self.tok.to_str()))
         self._clear()
 
@@ -88,8 +93,11 @@ class Encoder:
         import tiktoken
 
         ranks = {bytes(byte_of[c] for c in k): v for k, v in vocab.items()}
-        pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-        self.added = re.compile("|".join(re.escape(t["content"]) for t in spec.get("added_tokens", [])) or r"(?!)").search
+        # where no white space follows white space, the file's \s+(?!\S)|\s+ is \s, which needs no looking ahead
+        pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s"
+        added = spec.get("added_tokens", [])
+        self.feed, self.feeds = ranks[b"\n"], not any("\n" in t["content"] or t.get("lstrip") or t.get("rstrip") for t in added)
+        self.added = re.compile("|".join(re.escape(t["content"]) for t in added) or r"(?!)").search
         return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     def _clear(self) -> None:
@@ -97,21 +105,45 @@ class Encoder:
         self.flat, self.used = np.empty(1 << 20, np.uint32), 0
         self.starts, self.lengths = np.empty(1 << 16, np.int64), np.empty(1 << 16, np.int64)
 
+    def _plain(self, chunks: list[str]) -> np.ndarray:
+        """Which chunks the ranks alone encode. White space in these is at most a blank in front."""
+        if self.quick is None:
+            return np.zeros(len(chunks), bool)
+        text = "\n".join(chunks)
+        if text.count("\n") == len(chunks) - 1 and _PLAIN_LINES(text) and not self.added(text):
+            return np.ones(len(chunks), bool)
+        return np.array([_PLAIN(c) is not None and not self.added(c) for c in chunks], bool)
+
     def _learn(self, chunks: list[str]) -> None:
-        quick = [self.quick is not None and _PLAIN(c) is not None and not self.added(c) for c in chunks]
-        slow = iter(self.tok.encode_batch_fast([c for c, q in zip(chunks, quick, strict=True) if not q], add_special_tokens=False))
-        got = [self.quick(c) if q else next(slow).ids for c, q in zip(chunks, quick, strict=True)]
-        n, first = np.array([len(x) for x in got], np.int64), len(self.index) - len(chunks)
+        first = len(self.index) - len(chunks)
         while len(self.index) > len(self.starts):
             self.starts, self.lengths = np.resize(self.starts, 2 * len(self.starts)), np.resize(self.lengths, 2 * len(self.lengths))
-        ids = np.fromiter(chain.from_iterable(got), np.uint32, int(n.sum()))
+        plain = self._plain(chunks)
+        # all in one call, each with a line feed behind it, whose id no other token has
+        ids = np.array(self.quick("\n".join([*compress(chunks, plain), ""])) if plain.any() else [], np.uint32)
+        ends = ids == self.feed
+        slow = [e.ids for e in self.tok.encode_batch_fast(list(compress(chunks, ~plain)), add_special_tokens=False)]
+        n = np.empty(len(chunks), np.int64)
+        n[plain] = np.diff(np.flatnonzero(ends), prepend=-1) - 1
+        n[~plain] = [len(x) for x in slow]
+        ids = np.concatenate([ids[~ends], np.fromiter(chain.from_iterable(slow), np.uint32)])
         while self.used + len(ids) > len(self.flat):
             self.flat = np.resize(self.flat, 2 * len(self.flat))
         self.flat[self.used : self.used + len(ids)] = ids
-        self.starts[first : len(self.index)] = self.used + np.cumsum(n) - n
+        order = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])
+        self.starts[first + order] = self.used + np.cumsum(n[order]) - n[order]
         self.lengths[first : len(self.index)] = n
         self.used += len(ids)
 
+    def _chunks(self, text: str) -> list[str]:
+        """A text without white space behind a blank, cut; some chunks may be empty."""
+        if "\0" in text:
+            return re.split("(?= )", text)[text[0] == " " :]
+        cut = text.replace(" ", "\0 ")
+        if self.feeds and not _FEEDS.search(text):
+            cut = cut.replace("\n", "\0\n\0")
+        return cut.split("\0")[text[0] == " " :]
+
     def batch(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text. The texts should be a few MB together."""
         if len(self.index) > self.most:
@@ -121,7 +153,7 @@ class Encoder:
         flat, lengths = [], np.zeros(len(texts), np.int64)
         for i, t in enumerate(texts):
             if t and i not in odd:
-                p = (t.replace(" ", "\0 ").split("\0") if "\0" not in t else re.split("(?= )", t))[t[0] == " " :]
+                p = self._chunks(t)
                 lengths[i] = len(p)
                 flat += p
         at = np.fromiter(map(self.index.__getitem__, flat), np.int64, len(flat))

@@ -479,6 +479,22 @@ def test_encoder_agrees_with_the_tokenizer():
         assert [x.tolist() for x in enc.batch(some)] == [e.ids for e in enc.tok.encode_batch(some, add_special_tokens=False)]
 
 
+def test_encoder_cuts_at_line_feeds():
+    """Lines share their chunks with other lines, and a batch's new plain chunks are one call."""
+    enc = packing.Encoder(tokenizer_path(), most=300)
+    calls, quick = [], enc.quick
+    enc.quick = lambda text: calls.append(text) or quick(text)
+    rng = random.Random(10)
+    bits = ["ab", "é.", "'s", "\n", "\n", "\n", " ", "\r", "\t", "\x1c", "\u2003", "\x85", "12", "!!", "<|endoftext|>", "日本", "\0"]
+    for few in (5, 8, len(bits), 7):
+        some = ["".join(rng.choice(bits[:few]) for _ in range(rng.randint(0, 12))) for _ in range(2000)]
+        calls.clear()
+        assert [x.tolist() for x in enc.batch(some)] == [e.ids for e in enc.tok.encode_batch(some, add_special_tokens=False)]
+        assert len(calls) == 1
+    enc.batch(["one.\ntwo three\nfour\n"])
+    assert {"one.", "\n", "two", " three", "four"} <= set(enc.index) and "one.\ntwo" not in enc.index
+
+
 @pytest.fixture(scope="module")
 def benchmark(spark, texts):
     all_words = [t for _, t in texts if t]
