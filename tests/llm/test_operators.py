@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -362,6 +363,16 @@ def test_line_dedup_in_any_order_of_tokens(spark, monkeypatch):
         assert r.numbers == sorted(set(r.numbers)) and len(r.numbers) == len(r.hashes) and {i for i in range(64) if r.bits >> i & 1} == odd
 
 
+def test_line_dedup_counts_rarity_in_every_document(spark):
+    rows = [(i, f"Common common\nword{i}" + " three" * (i % 3 == 0)) for i in range(64)]
+    ranks = line_dedup.rarity(spark.createDataFrame(rows, "doc_id bigint, text string"), "doc_id", "text")
+    tokens = [w for _, t in rows for w in t.lower().split()]
+    cells = spark.createDataFrame([(w,) for w in tokens], "w string").select(line_dedup._cell(F.xxhash64("w")))
+    n = collections.Counter(r[0] for r in cells.collect())
+    held = spark.range(1).select(ranks).first()[0]
+    assert {c: r >> 56 for c, r in enumerate(held) if r} == {c: round(2 * math.log2(k + 1)) for c, k in n.items()}
+
+
 def test_langid(docs, texts, nothing, spark):
     rng = random.Random(4)
     stems = {"aa": "kalo mira tuso".split(), "bb": "grent holk strad".split()}
