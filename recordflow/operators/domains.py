@@ -47,5 +47,7 @@ def in_order(df: DataFrame, by: list[str], order: list[str], run: Callable[[Iter
 
     rest = [c for c in df.columns if c not in by]
     dealt = df.select(*[f"`{c}`" for c in [*by, *rest]])
-    dealt = dealt.repartition(*[f"`{c}`" for c in by]) if by else dealt.repartition(1)
+    # a number that is given stays: by their bytes, small rows that take long to run would be put into a few tasks
+    n_tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = dealt.repartition(n_tasks, *[f"`{c}`" for c in by]) if by else dealt.repartition(1)
     return dealt.sortWithinPartitions(*[f"`{c}`" for c in [*by, *order]]).mapInArrow(task, schema)

@@ -24,6 +24,7 @@ from ..functions import text as T
 from ..operators import fields
 from ..operators.domains import in_order
 from ..operators.ordered import fresh
+from .compiled import Code
 from .grammar import Program, parse
 from .sequential import Interpreter
 
@@ -377,11 +378,14 @@ def _sequential(plan: Plan, records: DataFrame, by: list[str], files: dict[str,
     columns = ["nr", "record", *[c for c in ("file", "fnr") if c in has and c not in by]]
     file_at, fnr_at = (columns.index(c) if c in columns else None for c in ("file", "fnr"))
     by_file = by.index("file") if "file" in by else None
+    held: list[Code] = []  # put together once a task, for all of its domains
 
     def run(rows: Iterator[tuple]) -> Iterator[tuple]:
         given = ((r[file_at] if file_at is not None else "", r[fnr_at] if fnr_at is not None else r[0], r[1]) for r in rows)
         last = at = None
-        for nr, dest, text in Interpreter(program, variables, files, fs, outputs=outputs, host=host).run(given):
+        if not held:
+            held.append(Code(program))
+        for nr, dest, text in Interpreter(program, variables, files, fs, outputs=outputs, host=host, code=held[0]).run(given):
             at, last = (at + 1 if nr == last else 0), nr
             yield nr, at, dest, text.removesuffix("\n")
 

@@ -194,3 +194,38 @@ def test_database_from_a_program(tmp_path):
     }"""
     got = execute(text, host=sqlite_module() | {"path": lambda: str(tmp_path / "x.db")})
     assert got.splitlines() == ["-1 0 0", "0 0 0 0 1 1", "0 2 0 -1", "4 name -1", "1 alice 1.5 flt mbs", "2 bob's 2 flt nil", "0 it''s", "-1 1 0 -1"]
+
+
+CONTROL = """
+function f(x, n) { while (1) { if (x > n) return x + 1; x++ } }
+{ s = i = 0
+  while (i < 3) { i++; if (i == 2) continue; s += $1 * i }
+  for (j = 0; ; j++) { if (j > 1) break; s += j }
+  do s--; while (s % 5 != 0)
+  switch ($2) { case "a": k = "A"; break; case "b": k = "B"; default: k = k "o" }
+  if (!(NR in seen)) seen[NR] = 1; else print "again"
+  m[$2]++; m[$2, s > 9] += s / 4; for (x in m) if (x == "b") break
+  print $1, f(s, 3) k x, $2 == "a" ? -s : s "", length(seen); delete seen }
+END { for (x in m) print x, m[x] }"""
+
+
+def test_programs_are_put_together_once(monkeypatch):
+    """The same output as the interpreter gives node by node, without looking up the nodes of each record."""
+    from recordflow.plans import compiled
+
+    records, calls, ev = [f"{i} {'abc'[i % 3]}" for i in range(50)], [], Interpreter.ev
+    monkeypatch.setattr(Interpreter, "ev", lambda s, e: calls.append(e[0]) or ev(s, e))
+    rows = lambda: (("", i, r) for i, r in enumerate(records, 1))
+    got = list(Interpreter(parse(CONTROL)).run(rows()))
+    assert len(calls) <= 3 * len(records)  # length() and the minus
+
+    monkeypatch.setattr(compiled.Code, "do", lambda _, n: lambda s: s.do(n))
+    monkeypatch.setattr(compiled.Code, "ev", lambda _, n: lambda s: s.ev(n))
+    calls.clear()
+    assert list(Interpreter(parse(CONTROL)).run(rows())) == got and len(got) >= 50 and len(calls) > 50 * len(records)
+
+
+def test_domains_of_few_bytes_are_dealt_to_all_tasks(spark):
+    rows = spark.range(400).selectExpr("id % 40 as k", "id as nr", "cast(id as string) as record")
+    out = run_program("{ n++; print n, $1 }", rows, by=["k"])
+    assert out.rdd.getNumPartitions() == 4 and out.count() == 400
