@@ -341,16 +341,22 @@ def _is_fold(p: Program, variables: dict, fs: str) -> bool:
     return True
 
 
+def _once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """df with further columns that are computed once a row: filters and sums over them don't repeat their expressions."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def _fold(plan: Plan, records: DataFrame) -> DataFrame:
     updates, loop, prints = _shape(plan.program)
-    records, e = _split(plan, records)
+    held, *flags = fresh(records, "fields", *[f"on{i}" for i in range(len(updates))])
+    records = _once(records, {held: fields.split(F.col("record"), plan.fs)})
+    e = Columns(plan.variables, plan.fs, held)
+    records = _once(records, {n: F.lit(True) if first is None else F.coalesce(e.truth(first), F.lit(False)) for n, (first, _) in zip(flags, updates, strict=True)})
     sums: dict[str, Column] = {}
-    fired = F.lit(False)
     in_map = F.lit(False)
     key = None
-    for first, us in updates:
-        on = F.lit(True) if first is None else F.coalesce(e.truth(first), F.lit(False))
-        fired = fired | on
+    for flag, (_, us) in zip(flags, updates, strict=True):
+        on = F.col(flag)
         for name, k, added in us:
             key = k if key is None else key
             in_map = in_map | on if loop and name == loop[1] else in_map

@@ -229,3 +229,14 @@ def test_domains_of_few_bytes_are_dealt_to_all_tasks(spark):
     rows = spark.range(400).selectExpr("id % 40 as k", "id as nr", "cast(id as string) as record")
     out = run_program("{ n++; print n, $1 }", rows, by=["k"])
     assert out.rdd.getNumPartitions() == 4 and out.count() == 400
+
+
+def test_fold_computes_conditions_once(spark):
+    """A condition's rule for numbers stands in the plan once, however many sums and filters it decides about."""
+    recs = spark.createDataFrame([(i, f"{'ab'[i % 2]} {v} {i}") for i, v in enumerate(["1", "+2", "-0x1F", "010", " 3e1", "x", "1.50", ""])], "nr bigint, record string")
+    text = "$2 + 0 > 1 { n[$1]++; q[$1] += $3; r[$1] += 2 } END { for (f in n) print f, n[f], q[f], r[f] }"
+    got = run_program(text, recs)
+    assert compile_program(text).kind == "fold" and got._jdf.queryExecution().optimizedPlan().toString().count("[xX]([0-9a-fA-F]+)") <= 2  # the condition's and $3's
+    rows = [(r.nr, r.record) for r in recs.collect()]
+    want = "".join(x for _, _, x in Interpreter(parse(text)).run(("", n, r) for n, r in rows))
+    assert sorted(r.line for r in got.collect()) == sorted(want.splitlines()) and want
