@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, octets, table, widened
+from .common import fresh, octets, slices, table, widened
 
 #: ASCII bytes that are no letters become blanks, A-Z become a-z.
 _LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -39,6 +39,8 @@ def tokens(text: bytes | None) -> list[bytes]:
 
 def words_of(token: bytes) -> list[str]:
     """The runs of letters in a token (it may hold other characters beyond ASCII)."""
+    if token.isascii():  # letters alone, in lower case
+        return [token.decode()]
     return _RUN.findall(token.decode(errors="replace").lower())
 
 
@@ -70,15 +72,49 @@ class Model:
     def __init__(self, langs: list[str], tables: dict[int, dict[str, np.ndarray]]):
         self.langs, self.tables = langs, tables
 
-    def vector(self, word: str) -> np.ndarray:
-        got = self.tables.get(0, {}).get(word)
+
+class Places:
+    """The model's vectors as rows of one matrix, so that many tokens are looked up at once."""
+
+    def __init__(self, model: Model):
+        self.at: dict[int, dict[str, int]] = {}
+        rows = [np.zeros(len(model.langs))]  # for a word without anything known
+        for k, table in model.tables.items():
+            self.at[k] = dict(zip(table, range(len(rows), len(rows) + len(table)), strict=True))
+            rows += table.values()
+        self.m = np.array(rows)
+
+    def rows(self, word: str) -> list[int]:
+        """The rows whose mean is the word's vector."""
+        got = self.at.get(0, {}).get(word)
         if got is not None:
-            return got
+            return [got]
+        s = f"<{word}>"
         for k in ORDERS:
-            known = [v for g in ngrams_of(word, k) if (v := self.tables.get(k, {}).get(g)) is not None]
+            at = self.at.get(k, {})
+            known = [r for i in range(len(s) - k + 1) if (r := at.get(s[i : i + k])) is not None]
             if known:
-                return np.mean(known, 0)
-        return np.zeros(len(self.langs))
+                return known
+        return [0]
+
+    def vectors(self, tokens: list[bytes]) -> np.ndarray:
+        """A row a token: the sum of its words' vectors, and at the end the number of words."""
+        out = np.zeros((len(tokens), self.m.shape[1] + 1))
+        rows: list[int] = []
+        starts, first, some = [], [], []  # of the words in rows, of the tokens in words, tokens that have words
+        for i, token in enumerate(tokens):
+            words = words_of(token)
+            if words:
+                some.append(i)
+                first.append(len(starts))
+                for w in words:
+                    starts.append(len(rows))
+                    rows += self.rows(w)
+        if some:
+            means = np.add.reduceat(self.m[rows], starts, 0) / np.diff(starts, append=len(rows))[:, None]
+            out[some, :-1] = np.add.reduceat(means, first, 0)
+            out[some, -1] = np.diff(first, append=len(starts))
+        return out
 
 
 def fit(docs: DataFrame, most: int = 1500, words: int = 15_000, ngrams: int = 4_000, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text") -> Model:
@@ -113,43 +149,46 @@ def fit(docs: DataFrame, most: int = 1500, words: int = 15_000, ngrams: int = 4_
 
 def _predict(model: Model, text_at: int, names: list[str]):
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = len(model.langs)
+        n, places = len(model.langs), Places(model)
 
         class Rows(dict):
-            """Tokens to rows of a growing matrix; the last column counts words."""
+            """Tokens to rows of a growing matrix; the last column counts words. New tokens get theirs by settle()."""
 
             def clear(self) -> None:
                 super().clear()
-                self.m = np.zeros((1 << 12, n + 1))
+                self.m, self.new = np.zeros((1 << 12, n + 1)), []
 
             def __missing__(self, token: bytes) -> int:
-                i = len(self)
-                if i == len(self.m):
-                    self.m = np.concatenate([self.m, np.zeros_like(self.m)])
-                found = words_of(token)
-                if found:
-                    self.m[i, :n] = sum(model.vector(w) for w in found)
-                    self.m[i, n] = len(found)
-                self[token] = i
+                self.new.append(token)
+                i = self[token] = len(self)
                 return i
 
+            def settle(self) -> None:
+                start = len(self) - len(self.new)
+                while len(self) > len(self.m):
+                    self.m = np.concatenate([self.m, np.zeros_like(self.m)])
+                self.m[start : len(self)] = places.vectors(self.new)
+                self.new = []
+
         memo = Rows()
         memo.clear()
         for b in batches:
             langs, scores = [], []
-            for t in octets(b.column(text_at)):
+            texts = octets(b.column(text_at))
+            for start, end in slices(texts):
                 if len(memo) > 100_000:
                     memo.clear()
-                ws = tokens(t)
-                at = np.fromiter(map(memo.__getitem__, ws), np.int64, len(ws))
-                s = memo.m[at].sum(0)
-                if not n or s[n] == 0:
-                    langs.append("und")
-                    scores.append(0.0)
-                    continue
-                best = int(s[:n].argmax())
-                langs.append(model.langs[best])
-                scores.append(float(1 / np.exp(np.maximum(s[:n] - s[best], -50)).sum()))
+                at = [np.fromiter(map(memo.__getitem__, tokens(t)), np.int32) for t in texts[start:end]]
+                memo.settle()
+                for rows in at:
+                    s = memo.m[rows].sum(0)
+                    if not n or s[n] == 0:
+                        langs.append("und")
+                        scores.append(0.0)
+                        continue
+                    best = int(s[:n].argmax())
+                    langs.append(model.langs[best])
+                    scores.append(float(1 / np.exp(np.maximum(s[:n] - s[best], -50)).sum()))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*b.schema.names, *names])
 
     return predict

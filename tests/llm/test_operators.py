@@ -542,3 +542,27 @@ def test_decontamination(docs, texts, benchmark, nothing, limit):
     assert sorted(str(tuple(r)) for r in got.select("doc_id", *names).collect()) == sorted(_hits(texts, items))
     assert decontam.mark(nothing, df, broadcast_bytes=limit)[0].count() == 0
     assert decontam.mark(docs, df.limit(0), broadcast_bytes=limit)[0].where(names[1] + " > 0").count() == 0
+
+
+def test_langid_looks_many_tokens_up_at_once():
+    """Each token's row is what its words' known n-grams give one by one."""
+    rng = np.random.default_rng(5)
+    tables = {0: {"kalo": rng.normal(size=2), "ü": rng.normal(size=2)}} | {k: {g: rng.normal(size=2) for w in ("kalomi", "grent") for g in langid.ngrams_of(w, k)} for k in (5, 3, 1)}
+    model = langid.Model(["aa", "bb"], tables)
+
+    def vector(word):
+        if word in tables[0]:
+            return tables[0][word]
+        for k in langid.ORDERS:
+            known = [tables[k][g] for g in langid.ngrams_of(word, k) if g in tables.get(k, {})]
+            if known:
+                return np.mean(known, 0)
+        return np.zeros(2)
+
+    tokens = ["kalo", "kalom", "grenta", "xgrex", "zzz", "kalo\u2014\u00dc", "\u2014", "ttkat"]
+    got = langid.Places(model).vectors([t.encode() for t in tokens])
+    for t, row in zip(tokens, got, strict=True):
+        words = langid.words_of(t.encode())
+        want = sum((vector(w) for w in words), np.zeros(2))
+        assert np.allclose(row[:2], want, rtol=1e-12, atol=1e-12) and row[2] == len(words)  # sums may differ in their last bit
+    assert langid.Places(langid.Model([], {})).vectors([b"word"]).shape == (1, 1) and not langid.Places(model).vectors([]).size
