@@ -347,6 +347,8 @@ def _repeated(rows: DataFrame, length: int, q: int, words: bool) -> DataFrame:
     crowded = not many.isEmpty()
     marked = with_bytes.join(many, "bucket", "left") if crowded else with_bytes.withColumn("many", F.lit(None).cast("boolean"))
     marked = marked.select("kind", "bucket", "id", "text_hash", "first", "last", "bytes", "many")
+    if crowded:
+        marked = table(marked, "cut")  # read twice, cut and dealt out once
     few = marked.where("many is null").drop("many").repartition("bucket").sortWithinPartitions("bucket")
     spans = few.mapInArrow(_refined(length, unit), _SPANS)
     if crowded:

@@ -566,3 +566,14 @@ def test_langid_looks_many_tokens_up_at_once():
         want = sum((vector(w) for w in words), np.zeros(2))
         assert np.allclose(row[:2], want, rtol=1e-12, atol=1e-12) and row[2] == len(words)  # sums may differ in their last bit
     assert langid.Places(langid.Model([], {})).vectors([b"word"]).shape == (1, 1) and not langid.Places(model).vectors([]).size
+
+
+def test_suffix_dedup_cuts_ranges_once(spark, monkeypatch):
+    rng = random.Random(31)
+    shared = _words(rng, 40)
+    df = spark.createDataFrame([(i, f"{_words(rng, 5)} {shared} {_words(rng, 5)}") for i in range(12)], "doc_id bigint, text string")
+    want = sorted(map(repr, suffix_dedup.repeats(df, length=60).collect()))
+    names, write = [], suffix_dedup.table
+    monkeypatch.setattr(suffix_dedup, "MANY", 2)
+    monkeypatch.setattr(suffix_dedup, "table", lambda d, name: names.append(name) or write(d, name))
+    assert sorted(map(repr, suffix_dedup.repeats(df, length=60).collect())) == want and names == ["ranges", "cut", "repeats"]
